@@ -155,3 +155,16 @@ def language_id(docs: DataFrame, *, folds: int = 3, held_out: int = 1) -> DataFr
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def drop_undetermined(docs: DataFrame, *, folds: int = 3, held_out: int = 1, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is determined: not ``und``, and with a posterior of ``least`` or more.
+
+    The model learns as in :func:`language_id`; where no row has a lang, rows with any letter stay.
+    """
+    fold = crc_fold("doc_id", folds) == held_out
+    names, logs = train(docs.where("lang is not null").where(~fold).select("text", "lang"))
+    if not names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = predict(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text")), names, logs)
+    return judged.where(F.col("lang_pred") != UNDETERMINED).where(F.col("score") >= least).select("row.*")

@@ -291,3 +291,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2, percent=80)
+
+
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, of which :func:`near_duplicates` keeps one in each component.
+
+    Rows without doc_id and rows without words stay. Ids of dropped rows go into a Bloom filter; only rows that it
+    cannot rule out are shuffled for the exact anti-join.
+    """
+    dropped = materialize(near_duplicates(docs, shingle=shingle, percent=percent).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct())
+    held = bloom(dropped.select(F.xxhash64("_dropped").alias("h")))
+    names = docs.columns
+    marked = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), held.may_hold(F.xxhash64("doc_id")).alias("maybe"))
+    unsure = marked.where("maybe").join(dropped, F.col("row.doc_id") == F.col("_dropped"), "left_anti")
+    return marked.where("not maybe").select("row.*").unionByName(unsure.select("row.*"))
