@@ -5,6 +5,87 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborix.operators import statements as st
+from arborix.plans import oracle
+from arborix.plans.catalogue import METRICS, closure
+from arborix.sources.tables import facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its own name, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_CHANGE = "company, year_period, section, section_rank, row_rank, canonical_name, value, status, resolution_method, prev_value, yoy_pct"
+_SUMS = [n for n in METRICS if METRICS[n].method == "aggregation"]
+_DERIVED = [n for n in METRICS if METRICS[n].formula]
+_PARTIAL = ["Revenue", "Net Worth", "Free cashflow"]
+
+
+@query(f"{oracle.yearly_sql()} SELECT {_CHANGE} FROM change")
+def sct_table(spark, folder):
+    """Statements of all companies and years, with yearly changes."""
+    return st.with_yearly_change(st.statement(st.resolved(facts(spark, folder)))).select(*_CHANGE.split(", "))
+
+
+@query(f"{oracle.yearly_sql(_PARTIAL)} SELECT {_CHANGE} FROM change")
+def sct_partial(spark, folder):
+    """Statements of three metrics; columns that they do not need are pruned down to the scan."""
+    return st.with_yearly_change(st.statement(st.resolved(facts(spark, folder)), _PARTIAL)).select(*_CHANGE.split(", "))
+
+
+@query(f"{oracle.resolved_sql()} {oracle.long_sql([n for n in METRICS if METRICS[n].method == 'direct'])}")
+def facts_direct(spark, folder):
+    return st.long(st.resolved(facts(spark, folder)), [n for n in METRICS if METRICS[n].method == "direct"])
+
+
+@query(f"{oracle.resolved_sql()} {oracle.long_sql(_SUMS)}")
+def agg_rollup(spark, folder):
+    return st.long(st.resolved(facts(spark, folder)), _SUMS)
+
+
+@query(f"{oracle.resolved_sql()} {oracle.long_sql([n for n in _SUMS if n in closure(['Net Worth'])])}")
+def agg_rollup_subset(spark, folder):
+    return st.long(st.resolved(facts(spark, folder)), [n for n in _SUMS if n in closure(["Net Worth"])])
+
+
+@query(f"{oracle.resolved_sql()} {oracle.long_sql(_DERIVED)}")
+def derived_metrics(spark, folder):
+    return st.long(st.resolved(facts(spark, folder)), _DERIVED)
+
+
+@query(f"{oracle.resolved_sql()} {oracle.long_sql()}")
+def resolve_metrics(spark, folder):
+    return st.long(st.resolved(facts(spark, folder)))
+
+
+@query(f"{oracle.resolved_sql()} SELECT year_period, status, count(*) AS metrics FROM ({oracle.long_sql()}) GROUP BY year_period, status")
+def resolution_summary(spark, folder):
+    return st.long(st.resolved(facts(spark, folder))).groupBy("year_period", "status").agg(F.count(F.lit(1)).alias("metrics"))
+
+
+@query(f"{oracle.yearly_sql()} SELECT company, year_period, canonical_name, prev_value, value, yoy_pct FROM change WHERE year_rank > 1")
+def yoy(spark, folder):
+    return st.with_yearly_change(st.statement(st.resolved(facts(spark, folder)))).where("year_rank > 1").select("company", "year_period", "canonical_name", "prev_value", "value", "yoy_pct")
+
+
+@query(f"{oracle.yearly_sql()}, top AS (SELECT company, max(year_rank) AS last FROM years GROUP BY company) SELECT company, year_period, canonical_name, yoy_pct FROM change JOIN top USING (company) WHERE year_rank = last AND last > 1")
+def yoy_latest(spark, folder):
+    table = st.with_yearly_change(st.statement(st.resolved(facts(spark, folder))))
+    last = table.groupBy("company").agg(F.max("year_rank").alias("last")).where("last > 1")
+    return table.join(last, "company").where("year_rank = last").select("company", "year_period", "canonical_name", "yoy_pct")
+
+
+from arborix.plans import documents, trees  # noqa: E402,F401  they register theirs
