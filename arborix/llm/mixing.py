@@ -81,7 +81,7 @@ class Catalogue:
 def placed(docs: DataFrame, *, weights: tuple[float, ...], share: float, cap: float, limit: int, text: bool) -> tuple[DataFrame, Catalogue]:
     """Rows with row_key, src, size and where their words begin in their source's stream."""
     own = [F.col("text")] if text else []
-    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "source", "_row", "_tie", "_src", "_size", "_before")] if text else []
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "source", "_row", "_tie", "_src", "_size", "_before", "_runs")] if text else []
     tie = F.xxhash64("doc_id", "source", "text").alias("_tie")  # orders rows by what they hold, so reruns agree however files are split
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), tie, "doc_id", "source", word_count("text").alias("_size"), *own, *rest))
     sums = rows.groupBy("source").agg(F.sum("_size").alias("n")).collect()
@@ -207,12 +207,12 @@ def mixed_documents(
 
     ``text`` holds the taken words in their order (the whole text unchanged if all are taken); ``n_chars``, if there,
     its length. A document that is taken twice gives two rows. Rows without words cannot be taken. Columns named
-    like the operator's own (_row, _tie, _src, _size, _before) are not supported and dropped.
+    like the operator's own (_row, _tie, _src, _size, _before, _runs) are not supported and dropped.
     """
     rows, spots, catalogue = placed(docs, weights=weights, share=share, cap=cap, limit=limit, text=True)
     slots = drawn_slots(docs.sparkSession, catalogue, seed)
-    runs = block_overlaps(spots, catalogue).join(slots, ["src", "block"]).groupBy("_row", "epoch").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    taken = rows.join(runs, "_row").withColumn("text", _words_between("text", "runs"))
+    runs = block_overlaps(spots, catalogue).join(slots, ["src", "block"]).groupBy("_row", "epoch").agg(F.collect_list(F.struct("a", "b")).alias("_runs"))
+    taken = rows.join(runs.select("_row", "_runs"), "_row").withColumn("text", _words_between("text", "_runs"))
     if "n_chars" in docs.columns:
         taken = taken.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return taken.select(*[c for c in docs.columns if c in taken.columns])
