@@ -36,6 +36,15 @@ def materialize(df: DataFrame, *, partition_by: list[str] | None = None) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
+    """Lets this session hand Python workers at most ``rows`` rows and about ``size`` at once.
+
+    The default of 10,000 rows is made for narrow rows; with whole texts it decides how much memory a worker holds.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def crc_fold(column: str | Column, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit(""))) % modulus

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborix.llm.common import bloom
+from arborix.llm.common import bloom, small_batches
 
 
 def exact_duplicates(docs: DataFrame, *, max_bits: int = 1 << 28) -> DataFrame:
@@ -19,6 +19,7 @@ def exact_duplicates(docs: DataFrame, *, max_bits: int = 1 << 28) -> DataFrame:
     twice pass straight through; the others meet by SHA-256, with partial sums before the shuffle, so a group of copies
     of any size costs one row a task. The join back is split by the adaptive skew join where one group is hot.
     """
+    small_batches(docs.sparkSession)
     base = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
     hashed = F.xxhash64("text_sha256")
     repeats = bloom(base.select(hashed.alias("h")), at_least=2, max_bits=max_bits)
@@ -39,6 +40,7 @@ def drop_exact_duplicates(docs: DataFrame, *, max_bits: int = 1 << 28) -> DataFr
 
     Rows that are equal in doc_id and text too give one row. Only rows whose hash may repeat are shuffled.
     """
+    small_batches(docs.sparkSession)
     hashed = F.xxhash64(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     repeats = bloom(docs.select(hashed.alias("h")), at_least=2, max_bits=max_bits)
     names = docs.columns

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.llm.arrays import open_array, write_array
-from arborix.llm.common import batches, crc_fold, map_sorted_groups, scratch_dir, spans, word_hashes
+from arborix.llm.common import batches, crc_fold, map_sorted_groups, scratch_dir, small_batches, spans, word_hashes
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task gathers before it sorts and hands on counts.
@@ -299,6 +299,7 @@ def lm_scores(docs: DataFrame, *, folds: int = 5, held_out: int = 1) -> DataFram
     mass of one; ``base_score`` that of unigrams with half a count added. Without training rows each token has
     probability 1. Extra columns play no part; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     fold = crc_fold("doc_id", folds) == held_out
     model = train(docs.where(~fold))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborix.llm.common import crc_fold, map_sorted_groups
+from arborix.llm.common import crc_fold, map_sorted_groups, small_batches
 
 BITS = 16
 SIZES = (1, 2, 3)
@@ -95,6 +95,7 @@ def train(labelled: DataFrame, *, max_languages: int = 500) -> tuple[list[str],
             total += np.frombuffer(b, np.int64)
         return pd.DataFrame({"lang": group["lang"][:1], "part": group["part"][:1], "counts": [total.tobytes()]})
 
+    small_batches(labelled.sparkSession)
     docs = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).collect()}
     if len(docs) > max_languages:
         raise ValueError(f"more than {max_languages} languages")

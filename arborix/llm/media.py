@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.llm.arrays import read_range, write_bytes
-from arborix.llm.common import bloom, materialize, scratch_dir
+from arborix.llm.common import bloom, materialize, scratch_dir, small_batches
 
 #: Samples in a row of the image; payloads are padded with spaces to a positive multiple.
 WIDTH = 192
@@ -147,6 +147,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     that differ in trailing spaces only may). Rows keep their number, null and repeated doc_ids included; extra columns
     play no part; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = payloads(docs)
     stored = read_back(store(rows, f"{scratch_dir(docs.sparkSession)}/media"))
     return rows.select("doc_id", "n_bytes", "payload_sha256").join(stored, "payload_sha256")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborix.llm.common import IS_WORD, batches, materialize, mix64
+from arborix.llm.common import IS_WORD, batches, materialize, mix64, small_batches
 from arborix.llm.ranking import running
 
 #: Weights of the sources in order of their names, repeating; the mix has SHARE times all words; no source more than CAP times its own.
@@ -80,6 +80,7 @@ class Catalogue:
 
 def placed(docs: DataFrame, *, weights: tuple[float, ...], share: float, cap: float, limit: int, text: bool) -> tuple[DataFrame, Catalogue]:
     """Rows with row_key, src, size and where their words begin in their source's stream."""
+    small_batches(docs.sparkSession)
     own = [F.col("text")] if text else []
     rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "source", "_row", "_tie", "_src", "_size", "_before", "_runs")] if text else []
     tie = F.xxhash64("doc_id", "source", "text").alias("_tie")  # orders rows by what they hold, so reruns agree however files are split

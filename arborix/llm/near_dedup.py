@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborix.llm.common import batches, bloom, map_sorted_groups, materialize, mix64, spans, word_hashes
+from arborix.llm.common import batches, bloom, map_sorted_groups, materialize, mix64, small_batches, spans, word_hashes
 from arborix.llm.components import connected_components
 
 #: Independent trees, and branchings after which a node is no longer split.
@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
 
     Documents with equal sets are first merged to one representative (the smallest doc_id), so copies cost one row.
     """
+    small_batches(docs.sparkSession)
     signed = materialize(signatures(docs, shingle))
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
     reps = materialize(classes)

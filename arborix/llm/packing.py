@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborix.llm.common import materialize
+from arborix.llm.common import materialize, small_batches
 from arborix.llm.ranking import running
 
 WINDOW = 1024
@@ -203,6 +203,7 @@ def packed(docs: DataFrame, *, window: int = WINDOW, tokenizer: str = TOKENIZER)
 
     The driver holds the histogram and the plan (bounded by the window); ranks inside a length come from two-level sums.
     """
+    small_batches(docs.sparkSession)
     cut = materialize(pieces(docs, window=window, tokenizer=tokenizer))
     histogram = np.zeros(window + 1, dtype=np.int64)
     for row in cut.groupBy("length").count().collect():

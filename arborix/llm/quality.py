@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborix.llm.common import IS_WORD, batches, crc_fold
+from arborix.llm.common import IS_WORD, batches, crc_fold, small_batches
 from arborix.llm.labelled import labelled_sample
 
 #: Hashed features, dimensions of the latent vectors, neighbours that vote, and the power of the similarity that weighs a vote.
@@ -121,6 +121,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int] | None
     Null and blank texts, and all texts where nothing is labelled, get the share of label 1 in the sample. Repeated
     rows give the same values again; extra columns play no part; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, "quality", sample or SAMPLE, folds=folds, held_out=held_out)
     model = fit([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["y"].to_numpy(dtype=np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborix.llm.common import small_batches
+
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: How much worse than the worst piece an unknown character scores, as in the tokenizer.
@@ -122,6 +124,8 @@ def token_counts(docs: DataFrame, *, vocabulary_file: str = VOCABULARY) -> DataF
     part; an empty table gives an empty result. Nothing is shuffled.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def count(text: pd.Series) -> pd.Series:
         return text.map(counter(vocabulary_file).count).astype("int64")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborix.llm.common import IS_WORD, batches, crc_fold, mix64, spans, word_hashes
+from arborix.llm.common import IS_WORD, batches, crc_fold, mix64, small_batches, spans, word_hashes
 from arborix.llm.labelled import labelled_sample
 
 BITS, DIMENSIONS = 16, 8
@@ -169,6 +169,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int] | Non
     the share of toxic documents in the sample. Without labels every score is that of no knowledge. Repeated rows give
     the same values again; extra columns play no part; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, "toxic", sample or SAMPLE, folds=folds, held_out=held_out)
     with np.errstate(over="ignore"):
         model = fit([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["y"].to_numpy(dtype=np.int64))
