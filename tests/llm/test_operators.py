@@ -1,0 +1,265 @@
+import collections
+import hashlib
+import math
+import re
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import fixtures as fx
+
+from arborix.llm import exact_dedup, kneser_ney, language, media, mixing, near_dedup, packing, quality, token_counts, toxicity
+from arborix.llm.common import bloom
+from arborix.llm.components import connected_components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+UPPER = {i: i + 32 for i in range(65, 91)}
+
+
+def lowered(text):
+    return WORD.findall((text or "").translate(UPPER))
+
+
+def fold(doc_id, n):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % n
+
+
+NO_LABELS = "doc_id long, quality int, toxic int"
+ALL = {
+    "toxicity": lambda s, d: toxicity.toxicity(d, s.createDataFrame([], NO_LABELS)),
+    "media": lambda s, d: media.media_columns(d),
+    "packing": lambda s, d: packing.packed(d),
+    "language": lambda s, d: language.language_id(d),
+    "lm": lambda s, d: kneser_ney.lm_scores(d),
+    "exact": lambda s, d: exact_dedup.exact_duplicates(d),
+    "near": lambda s, d: near_dedup.near_duplicates(d),
+    "mixing": lambda s, d: mixing.mixed(d),
+    "tokens": lambda s, d: token_counts.token_counts(d),
+    "quality": lambda s, d: quality.quality(d, s.createDataFrame([], NO_LABELS)),
+}
+
+
+@pytest.mark.parametrize("name", list(ALL))
+def test_empty_table(spark, name):
+    assert ALL[name](spark, fx.empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("name", [n for n in ALL if n not in ("packing", "near")])
+def test_odd_rows_give_a_row_each(spark, name):
+    rows = ALL[name](spark, fx.odd(spark)).collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(r[0] for r in fx.odd_rows())
+    if name in ("toxicity", "quality", "language"):
+        assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_filters_keep_columns(spark):
+    docs = fx.odd(spark)
+    for f in (exact_dedup.drop_exact_duplicates, near_dedup.drop_near_duplicates, language.drop_undetermined, mixing.mixed_documents):
+        assert f(docs).columns == docs.columns and f(fx.empty(spark)).collect() == []
+
+
+def test_bloom_misses_nothing(spark):
+    hashed = spark.range(2000).select(F.xxhash64(F.col("id") % 1500).alias("h"))
+    repeated = bloom(hashed, at_least=2, max_bits=1 << 12)
+    rows = spark.range(1500).select("id", repeated.may_hold(F.xxhash64("id")).alias("m")).collect()
+    assert all(r["m"] for r in rows if r["id"] < 500) and sum(r["m"] for r in rows) < 700
+
+
+def test_exact_duplicates(spark):
+    want = collections.defaultdict(list)
+    for doc_id, text, *_ in fx.odd_rows():
+        want[hashlib.sha256((text or "").encode()).hexdigest()].append(doc_id)
+    for r in exact_dedup.exact_duplicates(fx.odd(spark)).collect():
+        group = want[r["text_sha256"]]
+        top = max((i for i in group if i is not None), default=None)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (top, len(group), r["doc_id"] == top)
+    kept = exact_dedup.drop_exact_duplicates(fx.odd(spark)).collect()
+    assert len(kept) == len(want)
+
+
+def brute_components(rows, k):
+    sets = {}
+    for doc_id, text, *_ in rows:
+        w = lowered(text)
+        sets[doc_id] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    label = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if label[b] < label[a] and sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    label[a], changed = label[b], True
+    return label, {i: len(s) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_like_all_pairs(spark, k):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([None, "", "x", "x", "A b", "a B", fx.words(9, 3000)])]
+    for group in range(12):
+        base = fx.words(100 + group, 120).split()
+        for copy in range(5):
+            cut = base.copy()
+            for at in range(0, copy * (k + 1), k):
+                cut[(at * 37 + group) % 120] = f"new{copy}"
+            rows.append((len(rows), " ".join(cut), "en", "s", 0))
+    want, sizes = brute_components(rows, k)
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, fx.SCHEMA), shingle=k).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert {i: r["n_shingles"] for i, r in got.items()} == sizes
+
+
+def test_large_groups_are_dealt_out_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 600)
+    monkeypatch.setattr(near_dedup, "NODE", 4)
+    base = fx.words(5, 100).split()
+    rows = [(i, " ".join([*base[: i % 100], f"own{i}", *base[i % 100 + 1 :]]), "en", "s", 0) for i in range(60)]
+    want, _ = brute_components(rows, 2)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, fx.SCHEMA), shingle=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_packing_round_trip(spark):
+    rows = fx.odd_rows()
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    wanted = collections.Counter()
+    for doc_id, text, *_ in rows:
+        wanted[doc_id, tuple(tokenizer.encode(text or "", add_special_tokens=False).ids + [0])] += 1
+    pieces = packing.packed(fx.odd(spark)).collect()
+    ids = {d: list(t) for (d, t) in wanted}
+    for (doc_id, tokens), n in wanted.items():
+        own = [p for p in pieces if p["doc_id"] == doc_id and p["doc_tokens"] == len(tokens)]
+        if doc_id is not None:
+            assert sum(p["length"] for p in own) == n * len(tokens)
+            assert all(p["crc"] == zlib.crc32(np.array(tokens[p["start"] : p["start"] + p["length"]], "<u4").tobytes()) for p in own)
+    assert ids
+    by = collections.defaultdict(list)
+    for p in pieces:
+        by[p["sequence_id"]].append((p["offset"], p["length"]))
+    for spots in by.values():
+        at = 0
+        for offset, length in sorted(spots):
+            assert offset == at
+            at += length
+        assert at == 1024 or at & (at - 1) == 0 and at < 1024
+
+
+def test_counts_never_use_more_than_there_is():
+    r = np.random.default_rng(0)
+    histogram = np.concatenate(([0], r.integers(0, 50, 64)))
+    plan = packing.Plan(histogram, 64)
+    assert (plan.used <= histogram).all() and (plan.used * np.arange(65)).sum() == plan.packed * 64
+    pairs = sum(min(histogram[a], histogram[64 - a]) for a in range(1, 32)) + histogram[32] // 2 + histogram[64]
+    assert plan.packed >= pairs  # combinations of three fill windows that exact pairs cannot
+
+
+def test_mixture_meets_targets(spark):
+    rows = [(i, fx.words(i, 1 + i % 90), "en", None if i % 7 == 0 else f"s{i % 4}", 0) for i in range(900)]
+    docs = spark.createDataFrame(rows, fx.SCHEMA)
+    got = mixing.mixed(docs).collect()
+    size, taken, target = collections.Counter(), collections.Counter(), {}
+    source = {r[0]: r[3] for r in rows}
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["size"] == len(lowered(rows[r["doc_id"]][1])) and r["taken"] <= 2 * r["size"]
+        size[s] += r["size"]
+        taken[s] += r["taken"]
+        target[s] = r["target"]
+    assert math.isclose(sum(target.values()), 1.5 * sum(size.values()))
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in target)
+    again = mixing.mixed(docs.repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    whole = mixing.mixed_documents(docs).groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in whole} == dict(taken)
+
+
+def test_targets_are_capped_and_reshared():
+    assert mixing.targets([100, 100, 100]) == pytest.approx([200.0, 450 - 200 - 250 / 3, 250 / 3])
+    assert mixing.targets([]) == [] and mixing.targets([0, 10]) == [0.0, 15.0]
+
+
+def test_permutation():
+    n = np.full(97, 97)
+    assert sorted(mixing.permuted(np.arange(97), n, np.full(97, 5, np.uint64)).tolist()) == list(range(97))
+
+
+def test_language_and_labels(spark):
+    docs, labels = fx.speech(spark)
+    by = {r["doc_id"]: r for r in docs.collect()}
+    got = language.language_id(docs).collect()
+    assert all(r["lang_pred"] == by[r["doc_id"]]["lang"] and r["held_out"] == (fold(r["doc_id"], 3) == 1) for r in got)
+    none = language.language_id(fx.odd(spark)).where("doc_id in (0, 1, 2, 6)").collect()
+    assert {r["lang_pred"] for r in none} == {"und"}
+    y = {r["doc_id"]: r for r in labels.collect()}
+    for name, rows, cut in (("toxic", toxicity.toxicity(docs, labels), 0.5), ("quality", quality.quality(docs, labels), 0.3)):
+        held = [r for r in rows.collect() if r["held_out"]]
+        assert len(held) > 20 and all(r["predicted"] == int(r["score"] >= cut) and fold(r["doc_id"], 5) == 0 for r in held)
+        assert sum(r["predicted"] == y[r["doc_id"]][name] for r in held) >= 0.9 * len(held)
+
+
+def test_kneser_ney_like_a_plain_version(spark):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([None, "", "A b a", *[fx.words(i, 80, "v") for i in range(40)]])]
+    texts = {i: [*lowered(t), None] for i, t, *_ in rows}
+    train = [t for i, t in texts.items() if fold(i, 5) != 1]
+    one = collections.Counter(w for t in train for w in t)
+    two = collections.Counter(p for t in train for p in zip(["<s>", *t[:-1]], t, strict=True))
+    before, follow, total = collections.Counter(w for _, w in two), collections.defaultdict(collections.Counter), collections.Counter()
+    for (h, _), c in two.items():
+        follow[h][min(c, 3)] += 1
+        total[h] += c
+    d2 = kneser_ney.discounts(np.array([sum(c == k for c in two.values()) for k in range(1, 5)]))
+    d1 = kneser_ney.discounts(np.array([sum(c == k for c in before.values()) for k in range(1, 5)]))
+    left = sum(d1[min(c, 3)] for c in before.values()) / len(two)
+    n, v = sum(one.values()), len(one)
+
+    def p(h, w):
+        lower = max(before[w] - d1[min(before[w], 3)], 0) / len(two) + left / (v + 1)
+        if not total[h]:
+            return lower
+        return max(two[h, w] - d2[min(two[h, w], 3)], 0) / total[h] + sum(d2[k] * m for k, m in follow[h].items()) / total[h] * lower
+
+    assert math.isclose(sum(p("<s>", w) for w in [*one, "unknown"]), 1)
+    for r in kneser_ney.lm_scores(spark.createDataFrame(rows, fx.SCHEMA)).collect():
+        t = texts[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(one[w] > 0 for w in t), n)
+        assert math.isclose(r["base_score"], sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
+        assert math.isclose(r["score"], sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t[:-1]], t, strict=True)), rel_tol=1e-9)
+
+
+def test_media_round_trip(spark):
+    text = {}
+    for doc_id, t, *_ in fx.odd_rows():
+        text.setdefault(doc_id, []).append((t or "").encode())
+    rows = media.media_columns(fx.odd(spark)).collect()
+    for r in rows:
+        own = [b for b in text[r["doc_id"]] if len(b) == r["n_bytes"]][0]
+        payload = own.ljust(max(1, -(-len(own) // 192)) * 192)
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert media.decode(media.encode(payload)) == payload and r["width"] == 192 and r["height"] * 192 == len(payload)
+    assert len({(r["shard"], r["offset"]) for r in rows}) == len({r["payload_sha256"] for r in rows})
+
+
+def test_token_counts_like_the_tokenizer(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.Unigram(token_counts.vocabulary(), 0, True))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=False)
+    texts = [r[1] for r in fx.odd_rows()] + ["  a  b", "\n\nx ", "<s> </s> <0x0A>", "▁▁x▁", " " * 40]
+    got = token_counts.token_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert [r["n_tokens"] for r in sorted(got)] == [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
