@@ -11,6 +11,7 @@ from arborix.operators import statements as st
 from arborix.plans import oracle
 from arborix.plans.catalogue import METRICS, closure
 from arborix.sources.tables import facts
+from arborix.streaming.events import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,4 +89,14 @@ def yoy_latest(spark, folder):
     return table.join(last, "company").where("year_rank = last").select("company", "year_period", "canonical_name", "yoy_pct")
 
 
+@query(f"""{oracle.yearly_sql()}, top AS (SELECT company, max(year_rank) AS last FROM years GROUP BY company), e AS (
+ SELECT company, 0 AS phase, year_period AS a, section_rank AS b, row_rank AS c, 'metric' AS event_type FROM change
+ UNION ALL SELECT company, 1, year_period, section_rank, row_rank, 'yoy' FROM change JOIN top USING (company) WHERE year_rank = last AND last > 1
+ UNION ALL SELECT DISTINCT company, 2, '', 0, 0, 'complete' FROM change)
+ SELECT company, row_number() OVER (PARTITION BY company ORDER BY phase, a, b, c) AS seq, event_type FROM e""")
+def spread_events(spark, folder):
+    """Which event each company's client gets when; payloads are tested on their own."""
+    return events(st.with_yearly_change(st.statement(st.resolved(facts(spark, folder))))).drop("payload")
+
+
 from arborix.plans import documents, trees  # noqa: E402,F401  they register theirs

@@ -70,3 +70,15 @@ def test_yearly_change(spark):
     rows = [("a", "2021", "Revenue", -50.0), ("a", "2023", "Revenue", 25.0), ("b", "2021", "Revenue", 0.0), ("b", "2022", "Revenue", 3.0)]
     table = st.with_yearly_change(st.statement(st.resolved(facts(spark, rows)), ["Revenue"]))
     assert {(r["company"], r["year_period"]): r["yoy_pct"] for r in table.collect()} == {("a", "2021"): None, ("a", "2023"): 150.0, ("b", "2021"): None, ("b", "2022"): None}
+
+
+def test_events_keep_nulls_and_end_with_complete(spark):
+    import json
+
+    from arborix.streaming.events import events
+
+    rows = [("a", "2021", "Revenue", 10.0), ("a", "2022", "Revenue", 15.0)]
+    made = events(st.with_yearly_change(st.statement(st.resolved(facts(spark, rows)), ["Revenue", "Free cashflow"]))).orderBy("seq").collect()
+    assert [r["event_type"] for r in made] == ["metric"] * 4 + ["yoy"] * 2 + ["complete"]
+    assert json.loads(made[0]["payload"]) == {"canonical_name": "Revenue", "year": "2021", "value": 10.0, "status": "resolved", "error": None}
+    assert json.loads(made[4]["payload"])["value"] == 50.0 and json.loads(made[-1]["payload"]) == {"event_count": 4}
