@@ -1,8 +1,9 @@
-"""Budgeted tree search: upper confidence bounds, batches of leaves, backpropagation."""
+"""Budgeted search in section forests: upper confidence bounds, batches of leaves, backpropagation."""
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,32 +19,96 @@ def ucb(value_sum: float, visits: int, parent_visits: int | None, exploration: f
     return mean if parent_visits is None else mean + exploration * math.sqrt(math.log(parent_visits) / visits)
 
 
-def searched(leaves: DataFrame, *, iterations: int, workers: int, top: int) -> DataFrame:
-    """Per document: the best leaves, rows (doc_pk, leaf_pk, value, visits, rank), after ``iterations`` evaluations.
+def _unit(x: float | None) -> float:
+    return 0.0 if x is None or math.isnan(x) else min(1.0, max(0.0, x))
 
-    ``leaves`` has doc_pk, leaf_pk, prior and score. The parent starts with three visits of value one, each leaf with
-    three of its prior. Leaves are reserved in batches of ``workers`` by the highest bound, then their scores are
-    committed. Each step depends on those before it, so one document is searched in one task; documents are small
-    (hundreds of nodes), and there are many.
-    """
 
-    def walk(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("leaf_pk", ignore_index=True)
-        visits = [PRIOR_VISITS] * len(nodes)
-        value = [PRIOR_VISITS * p for p in nodes["prior"]]
-        seen, total, done = set(), PRIOR_VISITS, 0
+class Forest:
+    """The nodes of one document with their search state; ``free`` counts the leaves below a node that a batch may still take."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        nodes = nodes.sort_values(["child_order", "node_pk"], ignore_index=True)
+        self.pk, self.start = nodes["node_pk"].tolist(), nodes["start_index"].tolist()
+        self.prior, self.score = ([_unit(x) for x in nodes[c]] for c in ("prior", "score"))
+        index = {k: i for i, k in enumerate(self.pk)}
+        self.parent = [None if pd.isna(p) else index.get(int(p), -1) for p in nodes["parent_pk"]]
+        self.kids: dict[int | None, list[int]] = defaultdict(list)
+        for i, p in enumerate(self.parent):
+            self.kids[p].append(i)
+        self.visits, self.value, self.free = [0] * len(nodes), [0.0] * len(nodes), [0] * len(nodes)
+        for i in range(len(nodes)):
+            if not self.kids.get(i):
+                self.reserve(i, -1)
+        roots = self.kids.get(None, [])
+        if len(roots) == 1:  # nothing to choose from, so nothing to score
+            self.visits[roots[0]], self.value[roots[0]] = PRIOR_VISITS, float(PRIOR_VISITS)
+            self.seeded: set[int | None] = {None}
+        else:
+            self.seeded = set()
+
+    def line(self, i: int):
+        """A node and its ancestors."""
+        while i is not None and i >= 0:
+            yield i
+            i = self.parent[i]
+
+    def reserve(self, leaf: int, n: int = 1) -> None:
+        for i in self.line(leaf):
+            self.free[i] -= n
+
+    def descend(self) -> int | None:
+        """The leaf that the bounds lead to; children get their prior when their parent is first entered."""
+        at: int | None = None
+        while True:
+            if at not in self.seeded:
+                for c in self.kids[at]:
+                    self.visits[c] += PRIOR_VISITS
+                    self.value[c] += PRIOR_VISITS * self.prior[c]
+                self.seeded.add(at)
+            above = None if at is None else self.visits[at]
+            open_kids = [c for c in self.kids[at] if self.free[c]]
+            if not open_kids:
+                return None
+            at = max(open_kids, key=lambda c: ucb(self.value[c], self.visits[c], above))
+            if not self.kids.get(at):
+                return at
+
+    def run(self, iterations: int, workers: int, top: int) -> list[tuple]:
+        """Best leaves as (node_pk, value, visits, rank, leaves seen)."""
+        seen: set[int] = set()
+        done = 0
         while done < iterations:
             batch: list[int] = []
-            while len(batch) < min(workers, iterations - done, len(nodes)):
-                free = [i for i in range(len(nodes)) if i not in batch]
-                batch.append(max(free, key=lambda i: ucb(value[i], visits[i], total)))
-            for i in batch:
-                visits[i] += 1
-                value[i] += min(1.0, max(0.0, nodes["score"][i]))
-                seen.add(i)
-            total += len(batch)
+            while len(batch) < min(workers, iterations - done) and (leaf := self.descend()) is not None:
+                self.reserve(leaf)
+                batch.append(leaf)
+            if not batch:
+                break
+            for leaf in batch:
+                self.reserve(leaf, -1)
+                for i in self.line(leaf):
+                    self.visits[i] += 1
+                    self.value[i] += self.score[leaf]
+            seen.update(batch)
             done += len(batch)
-        best = sorted(seen, key=lambda i: (-value[i] / visits[i], -visits[i], nodes["leaf_pk"][i]))[:top]
-        return pd.DataFrame([(key[0], int(nodes["leaf_pk"][i]), round(value[i] / visits[i], 4), visits[i], r + 1) for r, i in enumerate(best)], columns=["doc_pk", "leaf_pk", "value", "visits", "rank"])
+        mean = {i: self.value[i] / self.visits[i] for i in seen}
+        best = sorted(seen, key=lambda i: (-mean[i], -self.visits[i], self.start[i], self.pk[i]))[:top]
+        return [(self.pk[i], round(mean[i], 4), self.visits[i], r, len(seen)) for r, i in enumerate(best, 1)]
+
+
+def searched(nodes: DataFrame, *, iterations: int, workers: int, top: int) -> DataFrame:
+    """Per document: its best leaves, rows (doc_pk, leaf_pk, value, visits, rank, leaves_seen), after ``iterations`` evaluations.
+
+    ``nodes`` has doc_pk, node_pk, parent_pk (null: a root), child_order, start_index, prior (counts among siblings) and
+    score (counts at leaves). From the roots the search goes to the child with the highest bound that still has a leaf
+    which is not in the batch; up to ``workers`` leaves are taken so, then their scores are added along their paths.
+    Nodes whose parent is missing are not reached, and a document without a root has no rows. Each step depends on those
+    before it, so one document is searched in one task; a document has hundreds of nodes, and there are many documents.
+    """
+
+    def walk(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        rows = [(key[0], *r) for r in Forest(part).run(iterations, workers, top)]
+        return pd.DataFrame(rows, columns=["doc_pk", "leaf_pk", "value", "visits", "rank", "leaves_seen"])
 
-    return leaves.groupBy("doc_pk").applyInPandas(walk, "doc_pk long, leaf_pk long, value double, visits long, rank long")
+    columns = nodes.select("doc_pk", "node_pk", "parent_pk", "child_order", "start_index", "prior", "score")
+    return columns.groupBy("doc_pk").applyInPandas(walk, "doc_pk long, leaf_pk long, value double, visits long, rank long, leaves_seen long")

@@ -98,11 +98,16 @@ portable("mcts_select_child", f"SELECT parent_pk, node_pk, ucb FROM (SELECT *, r
 portable("mcts_topk", f"SELECT r_regionkey, o_orderkey, cast(score AS double) AS score FROM (SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY score DESC, o_orderkey) AS k FROM {_LEAVES} l) x WHERE k <= 3")
 
 
+_TREE = """SELECT c_custkey AS doc_pk, -1 - c_custkey AS node_pk, cast(NULL AS bigint) AS parent_pk, 0 AS child_order, 1 AS start_index, 1.0D AS prior, 0.0D AS score FROM {customer}
+ UNION ALL SELECT o_custkey, o_orderkey * 10, -1 - o_custkey, o_orderkey, 1, cast(o_totalprice / 500000 AS double), cast(o_totalprice / 500000 AS double) FROM {orders}
+ UNION ALL SELECT o_custkey, l_orderkey * 10 + l_linenumber, l_orderkey * 10, l_linenumber, l_linenumber, cast(sum(l_quantity) / 50 AS double), cast(sum(l_extendedprice) / 105000 AS double)
+   FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_orderkey, l_linenumber"""
+
+
 @query(None)
 def mcts_search(spark, folder):
-    """For each customer's orders as leaves under it: three best leaves after ten evaluations in batches of three."""
-    leaves = run(spark, folder, f"SELECT c_custkey AS doc_pk, o_orderkey AS leaf_pk, cast(score AS double) AS score, cast(score AS double) AS prior FROM {_LEAVES} l")
-    return search.searched(leaves, iterations=10, workers=3, top=3)
+    """Each customer as a document, orders as its sections, order lines below them: three best leaves after ten evaluations in batches of three."""
+    return search.searched(run(spark, folder, _TREE), iterations=10, workers=3, top=3)
 
 
 @query(None)

@@ -32,8 +32,27 @@ def test_parents_come_earlier_and_the_last_one_wins(spark):
     assert [r["parent_ord"] for r in forest.parents(toc).orderBy("ord").collect()] == [None, 0, None, 2, None, 3]
 
 
-def test_search_spends_its_budget(spark):
-    leaves = spark.createDataFrame([(1, 1, 0.9, 0.2), (1, 2, 0.8, 0.9), (1, 3, 0.0, 0.0)], "doc_pk long, leaf_pk long, prior double, score double")
-    rows = search.searched(leaves, iterations=9, workers=2, top=3).collect()
-    assert sum(r["visits"] - 3 for r in rows) == 9 and rows[0]["leaf_pk"] == 2
+NODE = "doc_pk long, node_pk long, parent_pk long, child_order long, start_index long, prior double, score double"
+
+
+def found(spark, nodes, **how):
+    return [tuple(r)[1:] for r in search.searched(spark.createDataFrame(nodes, NODE), **how).orderBy("doc_pk", "rank").collect()]
+
+
+def test_search_takes_the_best_bounds_and_adds_scores_along_paths(spark):
+    flat = [(1, 100, None, 0, 1, 1.0, 0.0), (1, 1, 100, 0, 1, 0.9, 0.2), (1, 2, 100, 1, 2, 0.8, 0.9), (1, 3, 100, 2, 3, 0.0, 0.0)]
+    # a batch of two takes the two best priors, once each: (3 * 0.8 + 0.9) / 4 and (3 * 0.9 + 0.2) / 4
+    assert found(spark, flat, iterations=2, workers=2, top=3) == [(2, 0.825, 4, 1, 2), (1, 0.725, 4, 2, 2)]
+    rows = found(spark, flat, iterations=9, workers=2, top=3)
+    assert sum(r[2] - 3 for r in rows) == 9 and rows[0][0] == 2
+
+
+def test_search_descends_and_leaves_out_reserved_subtrees(spark):
+    deep = [(1, 10, None, 0, 1, 0.9, 0.0), (1, 20, None, 1, 5, 0.1, 0.0), (1, 11, 10, 0, 1, 0.5, 1.0), (1, 21, 20, 0, 5, 0.5, 0.4), (1, 99, 77, 0, 1, 1.0, 1.0), (2, 30, None, 0, 1, 0.0, 7.0)]
+    # both roots are tried in one batch, for the first has one leaf only; the node without its parent is not reached; a lone root is a leaf
+    assert found(spark, deep, iterations=2, workers=2, top=5) == [(11, 0.625, 4, 1, 2), (21, 0.475, 4, 2, 2), (30, 1.0, 5, 1, 1)]
+    assert found(spark, [(3, 1, 2, 0, 1, 1.0, 1.0)], iterations=2, workers=2, top=5) == []
+
+
+def test_bounds():
     assert search.ucb(0, 0, 5) == float("inf") and search.ucb(3.0, 4, None) == 0.75
