@@ -23,3 +23,22 @@ def lenient_object(answer: Column, schema: str) -> Column:
     body = F.when(fenced != "", fenced).otherwise(answer)
     body = F.regexp_replace(F.replace(body, F.lit("None"), F.lit("null")), r"\s+", " ")
     return F.from_json(F.regexp_replace(body, r",\s*([}\]])", "$1"), schema)
+
+
+def display(value: Column, kind: str) -> Column:
+    """A figure as statements print it: NA where it is null, two decimals for margins and ratios, else a whole number with separators."""
+    shown = F.format_string("%.2f", value) if kind in ("margin", "ratio") else F.format_number(value, 0)
+    return F.when(value.isNull(), "NA").otherwise(shown)
+
+
+#: Fixed value: how a search for a figure is put, before and after the name.
+_ASK, _TAIL = "Find the exact numeric value of '", ". Return only the numeric figure. If the value is presented with parentheses indicating a negative amount, treat it as negative."
+
+
+def search_text(name: Column, synonyms: Column) -> Column:
+    """The query for a metric: its name, then at most six other names, each once whatever its case; null synonyms count as none."""
+    known = F.coalesce(synonyms, F.expr("cast(array() as array<string>)"))
+    lower = F.transform(known, F.lower)
+    first = F.filter(known, lambda s, i: (F.array_position(lower, F.lower(s)) == i + 1) & (F.lower(s) != F.lower(name)))
+    others = F.when(F.size(first) > 0, F.concat(F.lit(" (also known as: "), F.array_join(F.slice(first, 1, 6), ", "), F.lit(")"))).otherwise("")
+    return F.concat(F.lit(_ASK), name, F.lit("'"), others, F.lit(_TAIL))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborix.functions.formula import parse, to_column
+from arborix.functions.text import display
 from arborix.plans.catalogue import METRICS, SECTIONS, levels, needs
 
 NAMES = list(METRICS)
@@ -80,3 +81,31 @@ def with_yearly_change(table: DataFrame) -> DataFrame:
     before = ranked.select("company", "canonical_name", (F.col("year_rank") + 1).alias("year_rank"), F.col("value").alias("prev_value"))
     change = F.round(F.try_divide(F.col("value") - F.col("prev_value"), F.abs("prev_value")) * 100, 2)
     return ranked.join(before, ["company", "canonical_name", "year_rank"], "left").withColumn("yoy_pct", change)
+
+
+def serialized(values: DataFrame) -> DataFrame:
+    """The shown metrics as stored: keys, section, nine fields. Components are listed where a value was derived from them."""
+    none = F.expr("cast(array() as array<struct<component_name: string, value: double, source_location: string>>)")
+    source = F.concat_ws(" ", "company", "year_period")
+    rows = []
+    for section, _, name in shown():
+        metric, i = METRICS[name], CODE[name]
+        value, status, derived = F.col(f"v{i}"), F.col(f"s{i}"), F.col(f"m{i}") == "derived"
+        parts = [F.struct(F.lit(n).alias("component_name"), F.col(f"v{CODE[n]}").alias("value"), source.alias("source_location")) for n in needs(name)]
+        details = F.when(derived, F.array(*parts)).otherwise(none) if parts else none
+        formula = metric.formula or " ".join(("- " if s < 0 else "+ ") + p for p, s in metric.parts).removeprefix("+ ")
+        rows.append(
+            F.struct(
+                F.lit(SECTIONS[section]).alias("section"),
+                F.lit(name).alias("canonical_name"),
+                value.alias("value"),
+                status.alias("status"),
+                F.col(f"m{i}").alias("resolution_method"),
+                F.when(derived & F.lit(bool(formula)), F.lit(formula)).alias("formula_used"),
+                display(value, metric.kind).alias("display_value"),
+                F.when(status == "unresolved", "not found").alias("error"),
+                F.when(derived & F.lit(bool(parts)), source).otherwise("").alias("source_location"),
+                details.alias("component_details"),
+            )
+        )
+    return values.select(*KEYS, F.inline(F.array(*rows)))

@@ -85,6 +85,27 @@ portable(
     r"SELECT page_id, regexp_replace(regexp_replace(concat(url, ' ....... ', cast(page_id AS string), ' . . . . . . 7'), '\\.\\.\\.\\.\\.+', ': '), '\\. \\. \\. \\. (?:\\. )+\\.?', ': ') AS cleaned FROM {pages}",
     r"SELECT page_id, regexp_replace(regexp_replace(concat(url, ' ....... ', cast(page_id AS string), ' . . . . . . 7'), '\.\.\.\.\.+', ': ', 'g'), '\. \. \. \. (?:\. )+\.?', ': ', 'g') AS cleaned FROM {pages}",
 )
+portable(
+    "row_index_map",
+    r"SELECT r.canonical_name, min(i.row_index) AS row_index FROM (SELECT DISTINCT p_name AS canonical_name FROM {part}) r JOIN (SELECT p_partkey AS row_index, trim(replace(lower(CASE p_partkey % 3 WHEN 0 THEN concat(' ', upper(p_name)) WHEN 1 THEN concat(p_name, ' (x)') ELSE p_type END), '(x)', '')) AS key FROM {part}) i ON i.key = lower(trim(r.canonical_name)) GROUP BY r.canonical_name",
+)
+
+
+@query(
+    """SELECT name, concat('Find the exact numeric value of ''', name, '''', CASE WHEN others IS NULL THEN '' ELSE concat(' (also known as: ', others, ')') END, '. Return only the numeric figure. If the value is presented with parentheses indicating a negative amount, treat it as negative.') AS query_text
+ FROM (SELECT name, string_agg(s, ', ' ORDER BY k) FILTER (WHERE r <= 6) AS others FROM (SELECT name, s, k, row_number() OVER (PARTITION BY name ORDER BY k) AS r
+ FROM (SELECT p_brand AS name, min(p_partkey) AS k, arg_min(CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END, p_partkey) AS s FROM part GROUP BY p_brand, lower(p_name)) x) y GROUP BY name)"""
+)
+def search_query_text(spark, folder):
+    """Brands as metrics, part names as their other names: each name's first spelling goes into the brand's list, not each part."""
+    from arborix.functions.text import search_text
+
+    spelt = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    names = table(spark, folder, "part").groupBy(F.col("p_brand").alias("name"), F.lower("p_name").alias("key")).agg(F.min("p_partkey").alias("k"), F.min_by(spelt, "p_partkey").alias("s"))
+    listed = names.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("l"))
+    return listed.select("name", search_text(F.col("name"), F.col("l.s")).alias("query_text"))
+
+
 _ANSWER = """(SELECT event_id, CASE event_id % 5 WHEN 0 THEN concat('Revenue was ', cast(v AS string), ' million.') WHEN 1 THEN concat('(', cast(v AS string), ')') WHEN 2 THEN concat('about ', cast(v // 7 AS string), ',', '250 units')
  WHEN 3 THEN concat(cast(v AS string), ' bn') ELSE 'none' END AS answer FROM (SELECT event_id, cast(floor(coalesce(value, 0)) AS bigint) AS v FROM {events}) e)"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborix.operators import statements as st
 from arborix.plans import oracle
-from arborix.plans.catalogue import METRICS, closure
+from arborix.plans.catalogue import METRICS, closure, levels, needs
 from arborix.sources.tables import facts
 from arborix.streaming.events import events
 
@@ -99,4 +99,67 @@ def spread_events(spark, folder):
     return events(st.with_yearly_change(st.statement(st.resolved(facts(spark, folder))))).drop("payload")
 
 
-from arborix.plans import documents, trees  # noqa: E402,F401  they register theirs
+@query(f"{oracle.resolved_sql()}, sct AS ({oracle.statement_sql()}) SELECT company, section, row_rank, canonical_name, year_period, value, status FROM sct WHERE year_period BETWEEN '1996' AND '1999'")
+def sct_by_year(spark, folder):
+    """Statements of chosen years; the same sections and rows for each of them."""
+    rows = facts(spark, folder).where(F.col("year_period").between("1996", "1999"))
+    return st.statement(st.resolved(rows)).select("company", "section", "row_rank", "canonical_name", "year_period", "value", "status")
+
+
+@query(f"{oracle.resolved_sql()} {oracle.long_sql([n for n in METRICS if METRICS[n].shown])}")
+def mentioned_filter(spark, folder):
+    return st.long(st.resolved(facts(spark, folder)), [n for n in METRICS if METRICS[n].shown])
+
+
+_PHASE = {"direct": 1, "aggregation": 2, "derived_else_direct": 3, "derived": 4}
+_DEPTH = {n: d for d, level in enumerate(levels()) for n in level}
+_CLOSURES = [(n, p) for n in METRICS if METRICS[n].shown for p in sorted(closure([n]) - {n})]
+_SUMMED = "count(*) AS metrics, count(value) AS found, cast(sum(CASE WHEN status = 'partial' THEN 1 ELSE 0 END) AS bigint) AS partial"
+
+
+def _by(spark, folder, names, rows, schema):
+    """Resolved metrics summed by a constant attribute of the catalogue."""
+    attribute = F.broadcast(spark.createDataFrame(rows, schema))  # one row a metric of the catalogue, or a few
+    joined = st.long(st.resolved(facts(spark, folder))).join(attribute, "canonical_name")
+    partial = F.sum(F.when(F.col("status") == "partial", 1).otherwise(0)).alias("partial")
+    return joined.groupBy("company", "year_period", *names).agg(F.count(F.lit(1)).alias("metrics"), F.count("value").alias("found"), partial)
+
+
+def _values(rows):
+    return ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+
+
+@query(f"{oracle.resolved_sql()} SELECT company, year_period, phase, {_SUMMED} FROM ({oracle.long_sql()}) JOIN (VALUES {_values([(n, _PHASE[METRICS[n].method]) for n in METRICS])}) a(canonical_name, phase) USING (canonical_name) GROUP BY ALL")
+def metric_phases(spark, folder):
+    """What each phase of a run (look-ups, sums, formulas that may be looked up, formulas) found for a company and year."""
+    return _by(spark, folder, ["phase"], [(n, _PHASE[METRICS[n].method]) for n in METRICS], "canonical_name string, phase int")
+
+
+@query(f"{oracle.resolved_sql()} SELECT company, year_period, level, {_SUMMED} FROM ({oracle.long_sql()}) JOIN (VALUES {_values(list(_DEPTH.items()))}) a(canonical_name, level) USING (canonical_name) GROUP BY ALL")
+def metric_levels(spark, folder):
+    """What was found on each level of the catalogue, whose metrics need only those of earlier levels."""
+    return _by(spark, folder, ["level"], list(_DEPTH.items()), "canonical_name string, level int")
+
+
+@query(f"{oracle.resolved_sql()} SELECT company, year_period, wanted, {_SUMMED} FROM ({oracle.long_sql()}) JOIN (VALUES {_values(_CLOSURES)}) a(wanted, canonical_name) USING (canonical_name) GROUP BY ALL")
+def dependency_closure(spark, folder):
+    """For each shown metric, how much of all that it is computed from, at any depth, was found."""
+    return _by(spark, folder, ["wanted"], _CLOSURES, "wanted string, canonical_name string")
+
+
+_FORMULA = {n: METRICS[n].formula or " ".join(("- " if s < 0 else "+ ") + p for p, s in METRICS[n].parts).removeprefix("+ ") for n in METRICS}
+_SHOWN = [n for n in METRICS if METRICS[n].shown]
+
+
+@query(
+    f"""{oracle.resolved_sql()}, sct AS ({oracle.statement_sql()}) SELECT company, year_period, section, canonical_name, value, status, resolution_method, CASE WHEN resolution_method = 'derived' THEN nullif(formula, '') END AS formula_used,
+ CASE WHEN status = 'unresolved' THEN 'not found' END AS error, CASE WHEN resolution_method = 'derived' THEN parts ELSE 0 END AS component_count
+ FROM sct JOIN (VALUES {_values([(n, _FORMULA[n], len(needs(n))) for n in _SHOWN])}) f(name, formula, parts) ON canonical_name = name"""
+)
+def sct_serialized(spark, folder):
+    """Statement rows in the shape in which they are stored; the display text is left to :func:`arborix.functions.text.display`."""
+    stored = st.serialized(st.resolved(facts(spark, folder)))
+    return stored.select("company", "year_period", "section", "canonical_name", "value", "status", "resolution_method", "formula_used", "error", F.size("component_details").alias("component_count"))
+
+
+from arborix.plans import documents, ingest, trees  # noqa: E402,F401  they register theirs

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from arborix.functions.text import lenient_object, numeric_value
+from arborix.functions.text import display, lenient_object, numeric_value, search_text
 from arborix.operators import chunks, forest, search
 
 
@@ -56,3 +56,11 @@ def test_search_descends_and_leaves_out_reserved_subtrees(spark):
 
 def test_bounds():
     assert search.ucb(0, 0, 5) == float("inf") and search.ucb(3.0, 4, None) == 0.75
+
+
+def test_display_and_search_texts(spark):
+    row = spark.range(1).select(display(F.lit(1234567.5), "absolute").alias("a"), display(F.lit(-0.126), "ratio").alias("b"), display(F.lit(None).cast("double"), "margin").alias("c")).first()
+    assert tuple(row) == ("1,234,568", "-0.13", "NA")
+    names = F.array(*[F.lit(x) for x in ("Sales", "revenue", "SALES", "a", "b", "c", "d", "e", "f")])
+    asked = spark.range(1).select(search_text(F.lit("Revenue"), names).alias("a"), search_text(F.lit("Revenue"), F.lit(None).cast("array<string>")).alias("b")).first()
+    assert "'Revenue' (also known as: Sales, a, b, c, d, e). Return" in asked[0] and "'Revenue'. Return" in asked[1]
