@@ -44,3 +44,11 @@ def depth_first(nodes: DataFrame) -> DataFrame:
     named = done.withColumn("node_id", F.lpad(number.cast("string"), 4, "0"))
     parent = named.select("doc_pk", F.col("ord").alias("parent_ord"), F.col("node_id").alias("parent_id"))
     return named.join(parent, ["doc_pk", "parent_ord"], "left").drop("path")
+
+
+def large(nodes: DataFrame, pages: DataFrame, *, pages_above: int = 10, tokens_from: int = 20_000) -> DataFrame:
+    """Nodes that are worth dividing: over ``pages_above`` pages and at least ``tokens_from`` tokens; rows (doc_pk, ord, pages, tokens)."""
+    count = (F.col("end_index") - F.col("start_index") + 1).cast("long")
+    wide = nodes.select("doc_pk", "ord", count.alias("pages"), F.sequence("start_index", "end_index").alias("range")).where(F.col("pages") > pages_above)
+    met = wide.select("doc_pk", "ord", "pages", F.explode("range").alias("page_no")).join(pages.select("doc_pk", "page_no", "token_count"), ["doc_pk", "page_no"])
+    return met.groupBy("doc_pk", "ord", "pages").agg(F.sum("token_count").alias("tokens")).where(F.col("tokens") >= tokens_from)

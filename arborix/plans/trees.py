@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from arborix.operators import forest, search
 from arborix.plans.portable import expand, portable, run
 from arborix.plans.registry import query
+from arborix.sources.tables import conversation_pages
 
 # ------------------------------------------------------------------ contents tables
-portable("toc_parse_index", "SELECT doc_pk, ord, cast(substring(concat('page_', cast(page AS string), '_x'), 6, length(cast(page AS string))) AS int) AS page_number FROM {TOC} t")
+portable(
+    "toc_parse_index",
+    r"SELECT doc_pk, ord, try_cast(regexp_extract(tag, '(\\d+)', 1) AS int) AS page_number FROM (SELECT doc_pk, ord, CASE WHEN ord % 4 = 3 THEN 'none' ELSE concat('<physical_index_', cast(page AS string), '> of 9') END AS tag FROM {TOC} t) x",
+    r"SELECT doc_pk, ord, try_cast(regexp_extract(tag, '(\d+)', 1) AS int) AS page_number FROM (SELECT doc_pk, ord, CASE WHEN ord % 4 = 3 THEN 'none' ELSE concat('<physical_index_', cast(page AS string), '> of 9') END AS tag FROM {TOC} t) x",
+)
 portable("toc_truncate", "SELECT doc_pk, ord, structure, CASE WHEN physical_index > 5 THEN NULL ELSE physical_index END AS physical_index FROM {TOC} t")
 portable(
     "toc_preface",
@@ -64,7 +69,16 @@ def node_text(spark, folder):
     return forest.texts(run(spark, folder, _RANGES_SQL), run(spark, folder, "SELECT doc_pk, page_no, text FROM {PAGES} p"))
 
 
-portable("large_nodes", f"SELECT r.doc_pk, r.ord, r.end_index - r.start_index + 1 AS pages FROM ({_RANGES_SQL}) r WHERE r.end_index - r.start_index + 1 > 1")
+
+@query(
+    expand(
+        f"SELECT doc_pk, ord, pages, tokens FROM (SELECT r.doc_pk, r.ord, r.end_index - r.start_index + 1 AS pages, cast(sum(len(regexp_extract_all(p.text, '[^ ]+'))) AS bigint) AS tokens FROM ({_RANGES_SQL}) r JOIN {{PAGES}} p ON r.doc_pk = p.doc_pk AND p.page_no BETWEEN r.start_index AND r.end_index GROUP BY r.doc_pk, r.ord, r.end_index, r.start_index) x WHERE pages > 1 AND tokens >= 60"
+    ).replace("{conversations}", "conversations")
+)
+def large_nodes(spark, folder):
+    """Sections of over one page and at least 60 tokens; conversations are short, real documents take ten pages and 20,000 tokens."""
+    return forest.large(run(spark, folder, _RANGES_SQL), conversation_pages(spark, folder), pages_above=1, tokens_from=60)
+
 
 # ------------------------------------------------------------------ forests
 portable("forest_scan", "SELECT node_pk, parent_pk, child_order, depth, title FROM {NODES} n")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from arborix.operators.statements import long, resolved, statement, with_yearly_change
 
 
 def events(changes: DataFrame) -> DataFrame:
@@ -36,3 +39,45 @@ def events(changes: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("company").orderBy("phase", "a", "b", "c")
     return metric.unionByName(yearly).unionByName(done).select("company", F.row_number().over(order).cast("long").alias("seq"), "event_type", "payload")
+
+
+def verified(requests: DataFrame, trees: DataFrame) -> DataFrame:
+    """The requested (company, year_period) with the status of their trees: ok from ten nodes and three leaves with text, else degraded; error without a tree.
+
+    ``trees`` has company, year_period, nodes and leaves, one row for each tree.
+    """
+    status = F.when(F.col("nodes").isNull(), "error").when((F.col("nodes") >= 10) & (F.col("leaves") >= 3), "ok").otherwise("degraded")
+    return requests.join(trees, ["company", "year_period"], "left").select("company", "year_period", status.alias("tree_status"))
+
+
+def spread(requests: DataFrame, trees: DataFrame, values: DataFrame) -> DataFrame:
+    """All events of requested spreads, rows (company, seq, event_type, payload).
+
+    Per company: one ``tree_verification`` for each year, a ``year_error`` for each year without a tree, then
+    :func:`events` of the others; a company without any usable year ends with a ``complete`` of no events.
+    """
+    checked = verified(requests, trees)
+    usable = checked.where("tree_status <> 'error'").select("company", "year_period")
+    known = events(with_yearly_change(statement(values.join(usable, ["company", "year_period"], "left_semi"))))
+    payload = F.to_json(F.struct(F.col("year_period").alias("year"), F.col("tree_status").alias("status")))
+    tree = checked.select("company", F.lit(0).alias("phase"), F.col("year_period").alias("at"), F.lit("tree_verification").alias("event_type"), payload.alias("payload"))
+    failed = checked.where("tree_status = 'error'").select("company", F.lit(1).alias("phase"), F.col("year_period").alias("at"), F.lit("year_error").alias("event_type"), payload.alias("payload"))
+    rest = known.select("company", F.lit(2).alias("phase"), F.lpad(F.col("seq").cast("string"), 12, "0").alias("at"), "event_type", "payload")
+    none = requests.select("company").distinct().join(known.select("company").distinct(), "company", "left_anti")
+    ends = none.select("company", F.lit(3).alias("phase"), F.lit("").alias("at"), F.lit("complete").alias("event_type"), F.lit('{"event_count":0}').alias("payload"))
+    order = Window.partitionBy("company").orderBy("phase", "at")
+    return tree.unionByName(failed).unionByName(rest).unionByName(ends).select("company", F.row_number().over(order).cast("long").alias("seq"), "event_type", "payload")
+
+
+def request(years: list[str], metrics: list[str], workers: int = 1) -> None:
+    """Refuses a spread without years, of fewer than two metrics, or with workers beyond 1 to 10."""
+    if not years or len(metrics) < 2 or not 1 <= workers <= 10:
+        raise ValueError("a spread needs at least one year, at least two metrics and 1 to 10 workers")
+
+
+def resolved_stream(facts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Resolves a stream of wide fact rows as they come and appends metric rows to ``path``, each exactly once; ends when all present input is done.
+
+    A wide row holds all that its company and year need, so the plan is a projection and keeps no state.
+    """
+    return long(resolved(facts)).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
