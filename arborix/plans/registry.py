@@ -85,8 +85,7 @@ def yoy(spark, folder):
 @query(f"{oracle.yearly_sql()}, top AS (SELECT company, max(year_rank) AS last FROM years GROUP BY company) SELECT company, year_period, canonical_name, yoy_pct FROM change JOIN top USING (company) WHERE year_rank = last AND last > 1")
 def yoy_latest(spark, folder):
     table = st.with_yearly_change(st.statement(st.resolved(facts(spark, folder))))
-    last = table.groupBy("company").agg(F.max("year_rank").alias("last")).where("last > 1")
-    return table.join(last, "company").where("year_rank = last").select("company", "year_period", "canonical_name", "yoy_pct")
+    return table.where("is_last and year_rank > 1").select("company", "year_period", "canonical_name", "yoy_pct")
 
 
 @query(f"""{oracle.yearly_sql()}, top AS (SELECT company, max(year_rank) AS last FROM years GROUP BY company), e AS (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,30 +15,19 @@ def events(changes: DataFrame) -> DataFrame:
     Per company: its metrics by year, section and row, then the changes of its last year, then one ``complete``.
     Payloads keep nulls. A company has a few hundred events, so one window orders them.
     """
-    metric = changes.select(
-        "company",
-        F.lit(0).alias("phase"),
-        F.col("year_period").alias("a"),
-        F.col("section_rank").alias("b"),
-        F.col("row_rank").alias("c"),
-        F.lit("metric").alias("event_type"),
-        F.to_json(F.struct("canonical_name", F.col("year_period").alias("year"), "value", "status", F.when(F.col("status") == "unresolved", "not found").alias("error")), {"ignoreNullFields": "false"}).alias("payload"),
-    )
-    last = changes.groupBy("company").agg(F.max("year_rank").alias("last")).where("last > 1")
-    yearly = changes.join(last, "company").where("year_rank = last").select(
-        "company",
-        F.lit(1).alias("phase"),
-        F.col("year_period").alias("a"),
-        F.col("section_rank").alias("b"),
-        F.col("row_rank").alias("c"),
-        F.lit("yoy").alias("event_type"),
-        F.to_json(F.struct("canonical_name", F.col("year_period").alias("year"), F.col("yoy_pct").alias("value")), {"ignoreNullFields": "false"}).alias("payload"),
-    )
+    metric = F.struct("canonical_name", F.col("year_period").alias("year"), "value", "status", F.when(F.col("status") == "unresolved", "not found").alias("error"))
+    change = F.struct("canonical_name", F.col("year_period").alias("year"), F.col("yoy_pct").alias("value"))
+
+    def event(phase: int, kind: str, payload: Column) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), F.lit(kind).alias("event_type"), F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
+
+    both = F.array(event(0, "metric", metric), F.when(F.col("is_last") & (F.col("year_rank") > 1), event(1, "yoy", change)))
+    made = changes.select("company", F.col("year_period").alias("a"), F.col("section_rank").alias("b"), F.col("row_rank").alias("c"), F.inline(F.array_compact(both)))
     done = changes.groupBy("company").agg(F.count(F.lit(1)).alias("n")).select(
         "company", F.lit(2).alias("phase"), F.lit("").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit("complete").alias("event_type"), F.to_json(F.struct(F.col("n").alias("event_count"))).alias("payload")
     )
     order = Window.partitionBy("company").orderBy("phase", "a", "b", "c")
-    return metric.unionByName(yearly).unionByName(done).select("company", F.row_number().over(order).cast("long").alias("seq"), "event_type", "payload")
+    return made.unionByName(done).select("company", F.row_number().over(order).cast("long").alias("seq"), "event_type", "payload")
 
 
 def verified(requests: DataFrame, trees: DataFrame) -> DataFrame:
