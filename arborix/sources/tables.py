@@ -46,11 +46,19 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_cu
 """
 
 
+_SPLIT = "company, year_period, n_nationkey, o_orderstatus, o_orderpriority, l_returnflag, l_linestatus, l_linenumber"
+
+
 def facts_sql(**names: str) -> str:
-    """One row a company and year with a column f<i> for each metric of the catalogue; money is summed as decimals."""
+    """One row a company and year with a column f<i> for each metric of the catalogue; money is summed as decimals.
+
+    Order lines are first summed by the attributes that figures tell apart: four sums a line before the shuffle instead of
+    one for each figure, and at most some hundred rows a company and year after it.
+    """
     tables = {t: names.get(t, t) for t in ("lineitem", "orders", "customer", "nation")}
     columns = ", ".join(f"cast({f'sum({FACTS[n]})' if n in FACTS else 'null'} AS double) AS f{i}" for i, n in enumerate(METRICS))
-    return f"SELECT company, year_period, {columns} FROM ({_LINES.format(**tables)}) lines GROUP BY company, year_period"
+    summed = f"SELECT {_SPLIT}, sum(p) AS p, sum(d) AS d, sum(x) AS x, sum(q) AS q FROM ({_LINES.format(**tables)}) lines GROUP BY {_SPLIT}"
+    return f"SELECT company, year_period, {columns} FROM ({summed}) summed GROUP BY company, year_period"
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
