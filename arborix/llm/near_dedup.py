@@ -10,6 +10,7 @@ confirmed on full shingle sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from arborix.llm.common import batches, bloom, map_sorted_groups, materialize, mix64, small_batches, spans, word_hashes
 from arborix.llm.components import connected_components
 
-#: Independent trees, and branchings after which a node is no longer split.
-TREES, DEPTH = 12, 6
+#: Branchings after which a node is no longer split.
+DEPTH = 6
+#: Share of pairs at the threshold that may part in every tree before they have branched JUDGED times together; sets the number of trees.
+MISSED, JUDGED = 2.5e-4, 4
 #: Documents in a node that are compared exhaustively.
 NODE = 48
 #: Bytes of a sketch (one minimum each), and the share that has to agree for similarity s: s less four standard deviations.
@@ -29,7 +32,6 @@ SKETCH = 64
 #: Shingles of a candidate group that one task compares; larger groups are thinned around pivots, then dealt out in pairs of blocks.
 BLOCK = 1 << 20
 
-_TREE_SEEDS = mix64(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SKETCH_SEEDS = mix64(np.arange(1001, 1001 + SKETCH, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
 
@@ -55,14 +57,21 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def paths(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Node keys of each set's path through each tree, sets x (TREES * DEPTH); ``tokens`` holds the sets one after the other.
+def trees_for(similarity: float) -> int:
+    """Independent trees that bring the recall of pairs at ``similarity`` to 1 - MISSED at branching JUDGED: 16 at 0.8."""
+    apart = 1 - similarity**JUDGED
+    return max(1, math.ceil(math.log(MISSED) / math.log(apart))) if apart > 0 else 1
+
+
+def paths(tokens: np.ndarray, sizes: np.ndarray, trees: int) -> np.ndarray:
+    """Node keys of each set's path through each tree, sets x (trees * DEPTH); ``tokens`` holds the sets one after the other.
 
     A node's hash function is a bijection, so its minimum stands for the token that has it.
     """
-    first, keys = np.cumsum(sizes) - sizes, np.empty((len(sizes), TREES * DEPTH), dtype=np.uint64)
-    for t in range(TREES):
-        at = np.full(len(sizes), _TREE_SEEDS[t])
+    first, keys = np.cumsum(sizes) - sizes, np.empty((len(sizes), trees * DEPTH), dtype=np.uint64)
+    seeds = mix64(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for t in range(trees):
+        at = np.full(len(sizes), seeds[t])
         for level in range(DEPTH):
             h = tokens ^ np.repeat(at, sizes)
             h *= np.uint64(0x94D049BB133111EB)
@@ -79,7 +88,7 @@ def sketches(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return low
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, trees: int) -> DataFrame:
     """Per document: doc_id, n shingles, a digest of the set, and the paths and the sketch (null without words)."""
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -93,7 +102,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         tokens, sizes = np.concatenate([sets[i] for i in full]), np.array([len(sets[i]) for i in full])
                         for name, values in (
                             ("digest", [hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in full]),
-                            ("path", list(paths(tokens, sizes).view(np.int64))),
+                            ("path", list(paths(tokens, sizes, trees).view(np.int64))),
                             ("sketch", [x.tobytes() for x in sketches(tokens, sizes)]),
                         ):
                             column = np.full(len(run), None, dtype=object)
@@ -153,7 +162,7 @@ def candidate_links(signed: DataFrame, similarity: float) -> DataFrame:
     all linked to the smallest of them, unseen: the exact stage then compares them.
     """
     rows = signed.select(
-        "rep", "n", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("path", t * DEPTH + 1, DEPTH))).alias("tree", "path")
+        "rep", "n", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees_for(similarity) - 1)), lambda t: F.slice("path", t * DEPTH + 1, DEPTH))).alias("tree", "path")
     ).select("rep", "n", "sketch", "path")
     links = None
     for level in range(1, DEPTH + 1):
@@ -270,12 +279,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     least ``percent`` times the union; component_id is the smallest doc_id reachable, and the row that has it stays.
     Null or blank texts have no shingles and stand alone. Rows without doc_id are left out, for they cannot be named;
     rows that repeat a doc_id give one row each and share the component of the smallest set digest. Extra columns play
-    no part; an empty table gives an empty result.
+    no part; an empty table gives an empty result. ``percent`` is 40 to 100, as the trees that the wanted recall takes
+    become too many below.
 
     Documents with equal sets are first merged to one representative (the smallest doc_id), so copies cost one row.
     """
+    if not 40 <= percent <= 100:
+        raise ValueError("percent has to be 40 to 100")
     small_batches(docs.sparkSession)
-    signed = materialize(signatures(docs, shingle))
+    signed = materialize(signatures(docs, shingle, trees_for(percent / 100)))
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
     reps = materialize(classes)
     candidates = connected_components(candidate_links(reps, percent / 100))
