@@ -44,3 +44,26 @@ def token_chunks(pages: DataFrame, *, limit: int, overlap: int = 1) -> DataFrame
 
     schema = "doc_pk long, chunk_no long, page_start long, page_end long, token_count long"
     return pages.select("doc_pk", "page_no", "token_count").groupBy("doc_pk").applyInPandas(cut, schema)
+
+
+def search_documents(chunks: DataFrame) -> DataFrame:
+    """Chunks in the shape of the index: id, title, content, source_path, source_file, chunk_index, company_name, year, metadata_json.
+
+    Content is trimmed, and a chunk without any fails the job. Missing texts are empty, a missing year or index 0; a
+    chunk without id gets :func:`chunk_id`. Columns that ``chunks`` does not have count as missing.
+    """
+
+    def given(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in chunks.columns else F.lit(None).cast(kind)
+
+    def text(name: str) -> Column:
+        return F.coalesce(given(name, "string"), F.lit(""))
+
+    content = F.regexp_replace(text("content"), r"(?U)^\s+|\s+$", "")
+    content = F.when(content != "", content).otherwise(F.raise_error(F.lit("a chunk has no content")).cast("string"))
+    index = F.coalesce(given("chunk_index", "long"), F.lit(0))
+    made = chunk_id(text("source_path"), text("title"), index, content)
+    return chunks.select(
+        F.coalesce(F.nullif(text("id"), F.lit("")), made).alias("id"), text("title").alias("title"), content.alias("content"), text("source_path").alias("source_path"), text("source_file").alias("source_file"),
+        index.alias("chunk_index"), text("company_name").alias("company_name"), F.coalesce(given("year", "int"), F.lit(0)).alias("year"), text("metadata_json").alias("metadata_json"),
+    )

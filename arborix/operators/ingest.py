@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +62,49 @@ def ingested(toc: DataFrame, pages: DataFrame) -> DataFrame:
     return nodes.join(texts, ["doc_pk", "ord"], "left").select(
         "doc_pk", "node_id", "parent_id", "structure", "title", "start_index", "end_index", F.substring("node_text", 1, 120).alias("summary"), "node_text"
     )
+
+
+def routed(*tables: DataFrame) -> DataFrame:
+    """Of several contents tables (doc_pk, ord, structure, title, physical_index) each document's entries of the first that places any of them."""
+    columns = ["doc_pk", "ord", "structure", "title", "physical_index"]
+    ranked = reduce(DataFrame.unionByName, [t.select(*columns, F.lit(i).alias("_route")) for i, t in enumerate(tables)])
+    first = ranked.where("physical_index is not null").groupBy("doc_pk").agg(F.min("_route").alias("_route"))
+    return ranked.join(first, ["doc_pk", "_route"], "left_semi").select(*columns)
+
+
+def divided(nodes: DataFrame, pages: DataFrame, found: DataFrame, *, pages_above: int = 10, tokens_from: int = 20_000, depth: int = 3) -> DataFrame:
+    """Nodes (doc_pk, structure, title, start_index, end_index) with large leaves divided by the headings on their pages.
+
+    ``pages`` has doc_pk, page_no and token_count; ``found`` has doc_pk, ord, structure, title and physical_index of all
+    headings. A leaf above ``depth`` that is large (:func:`forest.large`) gets the headings of the highest rank on its
+    pages as children, but not a first one with its own title. A child ends before the page on which the next one
+    begins, the last one with the leaf, and the leaf before its first child; none ends before it begins. Children are
+    looked at again, ``depth`` times at most. Structures are unique in a document; leaves without headings stay.
+    """
+    for _ in range(depth):
+        inner = nodes.select("doc_pk", F.regexp_replace("structure", r"\.[^.]*$", "").alias("above"), "structure").where("above <> structure").select("doc_pk", F.col("above").alias("structure")).distinct()
+        leaves = nodes.join(inner, ["doc_pk", "structure"], "left_anti").where(F.size(F.split("structure", r"\.")) <= depth)
+        large = forest.large(leaves.withColumn("ord", F.col("structure")), pages, pages_above=pages_above, tokens_from=tokens_from).select("doc_pk", F.col("ord").alias("structure"))
+        wide = leaves.join(large, ["doc_pk", "structure"], "left_semi")
+        spread = wide.select("doc_pk", F.col("structure").alias("above"), F.col("title").alias("own"), F.col("start_index").alias("start"), F.col("end_index").alias("end"), F.explode(F.sequence("start_index", "end_index")).alias("physical_index"))
+        met = spread.join(found.select("doc_pk", "ord", "title", "physical_index", F.size(F.split("structure", r"\.")).alias("rank")), ["doc_pk", "physical_index"])
+        leaf = Window.partitionBy("doc_pk", "above")
+        order = leaf.orderBy("ord")
+        named = met.withColumn("first", F.row_number().over(order) == 1).where(~(F.col("first") & (F.trim("title") == F.trim("own"))))
+        top = named.withColumn("least", F.min("rank").over(leaf)).where("rank = least")
+        kids = top.select(
+            "doc_pk", "above", F.concat_ws(".", "above", F.row_number().over(order).cast("string")).alias("structure"), "title", F.col("physical_index").alias("start_index"),
+            F.greatest("physical_index", F.coalesce(F.lead("physical_index").over(order) - 1, "end")).alias("end_index"),
+        )
+        begins = kids.groupBy("doc_pk", F.col("above").alias("structure")).agg(F.min("start_index").alias("_first"))
+        ends = F.when(F.col("_first") > F.col("start_index"), F.col("_first") - 1).otherwise(F.col("end_index"))
+        kept = nodes.join(begins, ["doc_pk", "structure"], "left").withColumn("end_index", ends).select(*nodes.columns)
+        nodes = _cut(kept.unionByName(kids.select(*nodes.columns)))
+    return nodes
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """The rows with their lineage cut, in the shared checkpoint folder; a folder of this machine's only where none is set."""
+    if not rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        rows.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-arborix-"))
+    return rows.checkpoint()

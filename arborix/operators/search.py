@@ -106,6 +106,9 @@ def searched(nodes: DataFrame, *, iterations: int, workers: int, top: int) -> Da
     before it, so one document is searched in one task; a document has hundreds of nodes, and there are many documents.
     """
 
+    if min(iterations, workers, top) < 1:
+        raise ValueError("a search needs at least one evaluation, one worker and one leaf to return")
+
     def walk(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rows = [(key[0], *r) for r in Forest(part).run(iterations, workers, top)]
         return pd.DataFrame(rows, columns=["doc_pk", "leaf_pk", "value", "visits", "rank", "leaves_seen"])

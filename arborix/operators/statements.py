@@ -7,32 +7,44 @@ from pyspark.sql import functions as F
 
 from arborix.functions.formula import parse, to_column
 from arborix.functions.text import display
-from arborix.plans.catalogue import METRICS, SECTIONS, levels, needs
+from arborix.plans.catalogue import METRICS, SECTIONS, Metric, levels, needs
 
-NAMES = list(METRICS)
-CODE = {name: i for i, name in enumerate(NAMES)}
+Catalogue = dict[str, Metric]
 KEYS = ["company", "year_period"]
 
 
-def wide(facts: DataFrame) -> DataFrame:
+def codes(metrics: Catalogue) -> dict[str, int]:
+    """The number that stands for each metric in the names of wide columns."""
+    return {name: i for i, name in enumerate(metrics)}
+
+
+CODE = codes(METRICS)
+
+
+def wide(facts: DataFrame, metrics: Catalogue = METRICS) -> DataFrame:
     """One row for each company and year, a column f<i> for each metric, from rows (company, year_period, canonical_name, value)."""
-    return facts.groupBy(*KEYS).agg(*[F.max(F.when(F.col("canonical_name") == n, F.col("value"))).alias(f"f{i}") for n, i in CODE.items()])
+    return facts.groupBy(*KEYS).agg(*[F.max(F.when(F.col("canonical_name") == n, F.col("value"))).alias(f"f{i}") for n, i in codes(metrics).items()])
 
 
-def resolved(facts: DataFrame) -> DataFrame:
+def resolved(facts: DataFrame, metrics: Catalogue = METRICS) -> DataFrame:
     """Adds v<i>, s<i>, m<i> (value, status, method) for every metric, one projection for each level of the catalogue.
 
     ``facts`` has one row a company and year and a column f<i> for each metric that was found. A looked-up value comes
     first for metrics that may be looked up; formulas that lack a part are partial; those that cannot be computed fall
     back on a looked-up value. Signed sums skip missing parts and are partial then.
     """
-    out = facts
-    for level in levels():
+    out, code = facts, codes(metrics)
+    known: set[str] = set()
+
+    def value_of(name: str) -> Column:
+        return F.col(f"v{code[name]}") if name in known else F.lit(None).cast("double")
+
+    for level in levels(metrics):
         made: dict[str, Column] = {}
         for name in level:
-            metric, i, fact = METRICS[name], CODE[name], F.col(f"f{CODE[name]}")
+            metric, i, fact = metrics[name], code[name], F.col(f"f{code[name]}")
             found = fact.isNotNull()
-            parts = [F.col(f"v{CODE[n]}") for n in needs(name)]
+            parts = [value_of(n) for n in needs(name, metrics)]
             some = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
             if metric.method == "direct":
                 cases = [(found, fact, "resolved", "direct")]
@@ -40,7 +52,7 @@ def resolved(facts: DataFrame) -> DataFrame:
                 total = sum((F.coalesce(p * sign, F.lit(0.0)) for p, (_, sign) in zip(parts, metric.parts, strict=True)), F.lit(0.0))
                 cases = [(some == len(parts), total, "resolved", "derived"), (some > 0, total, "partial", "derived"), (found, fact, "resolved", "fallback_search")]
             else:
-                value = F.round(to_column(parse(metric.formula, METRICS), lambda n: F.col(f"v{CODE[n]}")), 5)
+                value = F.round(to_column(parse(metric.formula, metrics), value_of), 5)
                 cases = [(found, fact, "resolved", "direct")] if metric.method == "derived_else_direct" else []
                 cases += [(some < len(parts), F.lit(None).cast("double"), "partial", "derived"), (value.isNotNull(), value, "resolved", "derived"), (found, fact, "resolved", "fallback_search")]
             for prefix, at, last in (("v", 1, F.lit(None).cast("double")), ("s", 2, F.lit("unresolved")), ("m", 3, F.lit("na"))):
@@ -49,26 +61,33 @@ def resolved(facts: DataFrame) -> DataFrame:
                     column = F.when(case[0], case[at] if at == 1 else F.lit(case[at])).otherwise(column)
                 made[f"{prefix}{i}"] = column
         out = out.withColumns(made)
+        known |= set(level)
     return out
 
 
-def long(values: DataFrame, names: list[str] | None = None) -> DataFrame:
+def long(values: DataFrame, names: list[str] | None = None, metrics: Catalogue = METRICS) -> DataFrame:
     """One row for each metric of ``names`` (all): keys, canonical_name, value, status, resolution_method."""
-    rows = [F.struct(F.lit(n).alias("canonical_name"), F.col(f"v{CODE[n]}").alias("value"), F.col(f"s{CODE[n]}").alias("status"), F.col(f"m{CODE[n]}").alias("resolution_method")) for n in names or NAMES]
+    code = codes(metrics)
+    rows = [F.struct(F.lit(n).alias("canonical_name"), F.col(f"v{code[n]}").alias("value"), F.col(f"s{code[n]}").alias("status"), F.col(f"m{code[n]}").alias("resolution_method")) for n in names or metrics]
     return values.select(*KEYS, F.inline(F.array(*rows)))
 
 
-def shown(names: list[str] | None = None) -> list[tuple[int, int, str]]:
+def sections(metrics: Catalogue) -> list[str]:
+    """The known sections in their order, then those that only ``metrics`` has, as they are first met."""
+    return list(dict.fromkeys([*SECTIONS, *(m.section for m in metrics.values())]))
+
+
+def shown(names: list[str] | None = None, metrics: Catalogue = METRICS) -> list[tuple[int, int, str]]:
     """Section rank, row rank and name of what a statement shows, in order."""
-    wanted = [n for n in NAMES if METRICS[n].shown and (names is None or n in names)]
-    return [(SECTIONS.index(METRICS[n].section), wanted.index(n), n) for n in wanted]
+    wanted = [n for n in metrics if metrics[n].shown and (names is None or n in names)]
+    return [(sections(metrics).index(metrics[n].section), wanted.index(n), n) for n in wanted]
 
 
-def statement(values: DataFrame, names: list[str] | None = None) -> DataFrame:
+def statement(values: DataFrame, names: list[str] | None = None, metrics: Catalogue = METRICS) -> DataFrame:
     """The shown metrics in sections: keys, section, section_rank, row_rank, canonical_name, value, status, resolution_method."""
-    rows = shown(names)
-    order = values.sparkSession.createDataFrame([(n, SECTIONS[s], s, r) for s, r, n in rows], "canonical_name string, section string, section_rank int, row_rank int")
-    return long(values, [n for _, _, n in rows]).join(F.broadcast(order), "canonical_name")  # the catalogue is a constant
+    rows = shown(names, metrics)
+    order = values.sparkSession.createDataFrame([(n, sections(metrics)[s], s, r) for s, r, n in rows], "canonical_name string, section string, section_rank int, row_rank int")
+    return long(values, [n for _, _, n in rows], metrics).join(F.broadcast(order), "canonical_name")  # the catalogue is a constant
 
 
 def with_yearly_change(table: DataFrame) -> DataFrame:
@@ -82,20 +101,20 @@ def with_yearly_change(table: DataFrame) -> DataFrame:
     return before.withColumn("yoy_pct", F.round(F.try_divide(F.col("value") - F.col("prev_value"), F.abs("prev_value")) * 100, 2))
 
 
-def serialized(values: DataFrame) -> DataFrame:
+def serialized(values: DataFrame, metrics: Catalogue = METRICS) -> DataFrame:
     """The shown metrics as stored: keys, section, nine fields. Components are listed where a value was derived from them."""
     none = F.expr("cast(array() as array<struct<component_name: string, value: double, source_location: string>>)")
     source = F.concat_ws(" ", "company", "year_period")
-    rows = []
-    for section, _, name in shown():
-        metric, i = METRICS[name], CODE[name]
+    rows, code = [], codes(metrics)
+    for section, _, name in shown(None, metrics):
+        metric, i = metrics[name], code[name]
         value, status, derived = F.col(f"v{i}"), F.col(f"s{i}"), F.col(f"m{i}") == "derived"
-        parts = [F.struct(F.lit(n).alias("component_name"), F.col(f"v{CODE[n]}").alias("value"), source.alias("source_location")) for n in needs(name)]
+        parts = [F.struct(F.lit(n).alias("component_name"), F.col(f"v{code[n]}").alias("value"), source.alias("source_location")) for n in needs(name, metrics)]
         details = F.when(derived, F.array(*parts)).otherwise(none) if parts else none
         formula = metric.formula or " ".join(("- " if s < 0 else "+ ") + p for p, s in metric.parts).removeprefix("+ ")
         rows.append(
             F.struct(
-                F.lit(SECTIONS[section]).alias("section"),
+                F.lit(sections(metrics)[section]).alias("section"),
                 F.lit(name).alias("canonical_name"),
                 value.alias("value"),
                 status.alias("status"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 # Names, kinds, sections and formulas of the metrics that statements show or need.
@@ -95,17 +96,18 @@ def _read() -> dict[str, Metric]:
 METRICS = _read()
 
 
-def needs(name: str) -> list[str]:
+def needs(name: str, metrics: dict[str, Metric] | None = None) -> list[str]:
     """Names that a metric is computed from, in the order of its formula."""
     from arborix.functions.formula import names
 
-    metric = METRICS.get(name)
+    metrics = METRICS if metrics is None else metrics
+    metric = metrics.get(name)
     if metric is None:
         return []
-    return [p for p, _ in metric.parts] if metric.parts else names(metric.formula, METRICS) if metric.formula else []
+    return [p for p, _ in metric.parts] if metric.parts else names(metric.formula, metrics) if metric.formula else []
 
 
-def closure(wanted: list[str]) -> set[str]:
+def closure(wanted: list[str], metrics: dict[str, Metric] | None = None) -> set[str]:
     """The wanted names and all that they are computed from; unknown names stay."""
     found: set[str] = set()
     todo = list(wanted)
@@ -113,19 +115,24 @@ def closure(wanted: list[str]) -> set[str]:
         name = todo.pop()
         if name not in found:
             found.add(name)
-            todo += needs(name)
+            todo += needs(name, metrics)
     return found
 
 
-def levels() -> list[list[str]]:
-    """Metrics by depth: those of one level need only earlier ones."""
-    depth: dict[str, int] = {}
-
-    def of(name: str) -> int:
-        if name not in depth:
-            depth[name] = 1 + max((of(n) for n in needs(name)), default=-1)
-        return depth[name]
-
-    for name in METRICS:
-        of(name)
-    return [[n for n in METRICS if depth[n] == d] for d in range(max(depth.values()) + 1)]
+def levels(metrics: dict[str, Metric] | None = None) -> list[list[str]]:
+    """Metrics by depth: those of one level need only earlier ones.
+
+    Metrics that need each other in a circle come last, one a level in their order, with a warning; what one of them
+    needs from a later one counts as missing.
+    """
+    metrics = METRICS if metrics is None else metrics
+    left, done, out = list(metrics), set(), []
+    while left:
+        level = [n for n in left if all(p in done or p not in metrics for p in needs(n, metrics))]
+        if not level:
+            warnings.warn(f"metrics that need each other in a circle: {', '.join(left)}", stacklevel=2)
+            level = left[:1]
+        out.append(level)
+        done |= set(level)
+        left = [n for n in left if n not in done]
+    return out

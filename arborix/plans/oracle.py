@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from arborix.functions.formula import parse, to_sql
-from arborix.operators.statements import CODE, NAMES, shown
+from arborix.operators.statements import CODE, shown
 from arborix.plans.catalogue import METRICS, SECTIONS, levels, needs
 from arborix.sources.tables import facts_sql
 
@@ -34,7 +34,7 @@ def resolved_sql() -> str:
 
 
 def long_sql(names: list[str] | None = None) -> str:
-    rows = [f"SELECT company, year_period, '{n}' AS canonical_name, v{CODE[n]} AS value, s{CODE[n]} AS status, m{CODE[n]} AS resolution_method FROM resolved" for n in names or NAMES]
+    rows = [f"SELECT company, year_period, '{n}' AS canonical_name, v{CODE[n]} AS value, s{CODE[n]} AS status, m{CODE[n]} AS resolution_method FROM resolved" for n in names or METRICS]
     return " UNION ALL ".join(rows)
 
 

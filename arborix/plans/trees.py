@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborix.operators import forest, search
+from arborix.operators import forest, search, verify
 from arborix.plans.portable import expand, portable, run
 from arborix.plans.registry import query
-from arborix.sources.tables import conversation_pages
+from arborix.sources.tables import conversation_pages, table
 
 # ------------------------------------------------------------------ contents tables
 portable(
@@ -97,6 +97,37 @@ portable(
 )
 portable("path_node_ids", "SELECT o_orderkey, concat(lpad(cast(r_regionkey AS string), 4, '0'), lpad(cast(n_nationkey AS string), 4, '0'), lpad(cast(c_custkey % 10000 AS string), 4, '0')) AS node_id FROM {PATHS} p")
 
+
+
+@query(
+    expand(
+        """SELECT root_pk AS doc_pk, count(*) AS nodes, count(CASE WHEN parent_pk IS NULL THEN 1 END) AS roots, count(CASE WHEN parent_pk IS NOT NULL AND NOT known THEN 1 END) AS orphans, count(CASE WHEN leaf THEN 1 END) AS leaves,
+ count(CASE WHEN leaf AND trim(title) <> '' THEN 1 END) AS leaves_with_text, CASE WHEN count(CASE WHEN parent_pk IS NULL THEN 1 END) = 0 OR count(CASE WHEN parent_pk IS NOT NULL AND NOT known THEN 1 END) > 0 THEN 'error'
+ WHEN count(*) >= 10 AND count(CASE WHEN leaf AND trim(title) <> '' THEN 1 END) >= 3 THEN 'ok' ELSE 'degraded' END AS status
+ FROM (SELECT n.*, n.node_pk NOT IN (SELECT parent_pk FROM {NODES} c WHERE parent_pk IS NOT NULL) AS leaf, n.parent_pk IN (SELECT node_pk FROM {NODES} p) AS known FROM {NODES} n) x GROUP BY root_pk"""
+    ).replace("{", "").replace("}", "")
+)
+def forest_report(spark, folder):
+    """Regions as forests: their nodes, leaves and whether they are whole and large enough."""
+    return verify.report(run(spark, folder, "SELECT root_pk AS doc_pk, node_pk, parent_pk, title AS node_text FROM {NODES} n"))
+
+
+_REPLY = """(SELECT event_id, CASE event_id % 5 WHEN 0 THEN concat('{"score": ', cast(v AS string), '}') WHEN 1 THEN concat('{"score": 0.', cast(v AS string), '}') WHEN 2 THEN '{"score": true}'
+ WHEN 3 THEN concat('{"score": "', cast(v AS string), '"}') ELSE 'none' END AS reply FROM (SELECT event_id, cast(floor(coalesce(value, 0)) AS bigint) AS v FROM {events}) e)"""
+
+
+@query(f"SELECT event_id, CASE WHEN json_valid(reply) AND json_type(reply, '$.score') IN ('DOUBLE', 'BIGINT', 'UBIGINT') THEN least(1.0, greatest(0.0, cast(json_extract(reply, '$.score') AS double))) END AS score FROM {_REPLY.replace('{events}', 'events')} q")
+def leaf_answers(spark, folder):
+    """Scores read out of model replies: only numbers count, and they are brought into 0 to 1."""
+    from arborix.functions.answers import leaf_score
+
+    events = table(spark, folder, "events").select("event_id", F.floor(F.coalesce("value", F.lit(0.0))).cast("string").alias("v"))
+    kind = F.col("event_id") % 5
+    reply = F.when(kind == 0, F.concat(F.lit('{"score": '), "v", F.lit("}"))).when(kind == 1, F.concat(F.lit('{"score": 0.'), "v", F.lit("}"))).when(kind == 2, '{"score": true}')
+    reply = reply.when(kind == 3, F.concat(F.lit('{"score": "'), "v", F.lit('"}'))).otherwise("none")
+    return events.select("event_id", leaf_score(reply).alias("score"))
+
+
 # ------------------------------------------------------------------ search
 _LEAVES = "(SELECT c_custkey, o_orderkey, n_nationkey, r_regionkey, round((o_orderkey % 97) / 97.0, 4) AS score FROM {PATHS} p)"
 portable("leaf_scores", f"SELECT o_orderkey, cast(least(1.0, greatest(0.0, score)) AS double) AS score FROM {_LEAVES} l")
