@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,8 +25,14 @@ def texts(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return met.select("doc_pk", "ord", F.array_join(F.col("p.text"), "\n").alias("node_text"))
 
 
-def depth_first(nodes: DataFrame) -> DataFrame:
-    """Adds node_id and parent_id, four digits at least, counting each document's nodes depth first from 0.
+def padded(number: Column) -> Column:
+    """A number as text of four digits at least; longer ones stay whole."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(4), F.length(text)), F.lit("0"))
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """Adds path: nine digits for a node and for each one above it, in depth-first order within a document.
 
     ``nodes`` has doc_pk, ord, structure and parent_ord. A parent's structure is one part shorter than its child's, so
     paths grow by one equi-join for each part of the longest structure; only their number comes to the driver.
@@ -40,8 +46,13 @@ def depth_first(nodes: DataFrame) -> DataFrame:
         above = level.select("doc_pk", F.col("ord").alias("parent_ord"), F.col("path").alias("_above"))
         level = nodes.where(parts == n).join(above, ["doc_pk", "parent_ord"], "left").withColumn("path", F.concat_ws(".", "_above", step)).drop("_above")
         done = done.unionByName(level)
+    return done
+
+
+def depth_first(nodes: DataFrame) -> DataFrame:
+    """Adds node_id and parent_id, four digits at least, counting each document's nodes depth first from 0; ``nodes`` as for :func:`paths`."""
     number = F.row_number().over(Window.partitionBy("doc_pk").orderBy("path")) - 1
-    named = done.withColumn("node_id", F.lpad(number.cast("string"), 4, "0"))
+    named = paths(nodes).withColumn("node_id", F.lpad(number.cast("string"), 4, "0"))
     parent = named.select("doc_pk", F.col("ord").alias("parent_ord"), F.col("node_id").alias("parent_id"))
     return named.join(parent, ["doc_pk", "parent_ord"], "left").drop("path")
 

@@ -8,7 +8,7 @@ from arborix.operators import ingest
 from arborix.plans.portable import expand, run
 from arborix.plans.registry import query
 from arborix.sources import trees
-from arborix.sources.tables import table
+from arborix.sources.tables import conversation_pages, table
 
 
 def _other(text: str) -> str:
@@ -38,6 +38,12 @@ def ingest_pipeline(spark, folder):
     return ingest.ingested(run(spark, folder, "SELECT doc_pk, ord, structure, title, physical_index FROM {TOC} t"), run(spark, folder, "SELECT doc_pk, page_no, text FROM {PAGES} p"))
 
 
+@query(None)
+def ingest_whole(spark, folder):
+    """Conversations as documents, from contents entries by logical pages to numbered nodes: entries placed by offset and by title, large leaves divided."""
+    return ingest.ingested_whole(run(spark, folder, "SELECT doc_pk, ord, structure, title, page, physical_index FROM {TOC} t"), conversation_pages(spark, folder))
+
+
 _LINES = "SELECT o_orderkey AS doc_pk, o_orderpriority AS doc_name, l_linenumber AS node_no, count(*) AS pages FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority, l_linenumber"
 
 

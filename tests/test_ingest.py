@@ -42,3 +42,34 @@ def test_json_trees(spark, tmp_path):
             trees.nodes(docs.withColumn("raw", F.lit(bad)), "k", "raw").collect()
     with pytest.raises(Exception, match="deeper"):
         trees.nodes(docs, "k", "raw", depth=1).collect()
+
+
+def test_entries_without_a_physical_page_are_placed(spark):
+    texts = {1: ["cover", "alpha", "beta then gamma", "gamma", "delta", "end"], 2: ["one", "two"], 3: ["x", "y", "z"]}
+    pages = spark.createDataFrame([(d, i, t, 1) for d, ts in texts.items() for i, t in enumerate(ts, 1)], "doc_pk long, page_no long, text string, token_count long")
+    toc = spark.createDataFrame(
+        [
+            (1, 0, "1", "Alpha", 1, 2), (1, 1, "2", "Beta", 2, None), (1, 2, "3", "Gamma", None, None), (1, 3, "4", "Beta", None, None), (1, 4, "5", "Delta", 4, 5), (1, 5, "6", " ", None, None), (1, 6, "7", "Far", 9, None),
+            (2, 0, "1", "One", 1, None), (2, 1, "2", "Two", None, None),
+            (3, 0, "1", "a", 1, 2), (3, 1, "2", "b", 2, 2), (3, 2, "3", "c", 2, None), (3, 3, "4", "q", None, 3),
+        ],
+        "doc_pk long, ord int, structure string, title string, page int, physical_index int",
+    )
+    rows = ingest.located(toc, pages).orderBy("doc_pk", "ord").collect()
+    assert [(r["doc_pk"], r["ord"], r["physical_index"]) for r in rows] == [
+        (1, 0, 2), (1, 1, 3), (1, 2, 3), (1, 3, 3), (1, 4, 5), (1, 5, None), (1, 6, 10), (2, 0, 1), (2, 1, 2), (3, 0, 2), (3, 1, 3), (3, 2, 3), (3, 3, 3),
+    ]
+
+
+def test_whole_ingestion_places_divides_and_routes(spark):
+    marked = {2: "<h2>Big</h2> One. Two. Three.", 3: "<h3>A</h3>", 9: "<h3>B</h3>"}
+    pages = spark.createDataFrame(
+        [(1, i, marked.get(i, f"p{i}" + (" notes" if i == 14 else "")), 10) for i in range(1, 16)] + [(2, 1, "<h1>Only</h1>", 1), (2, 2, "<h2>Sub</h2>", 1)], "doc_pk long, page_no long, text string, token_count long"
+    )
+    toc = spark.createDataFrame([(1, 0, "1", "Big", 1, 2), (1, 1, "2", "Notes", None, None), (2, 0, "1", "Lost", None, None)], "doc_pk long, ord int, structure string, title string, page int, physical_index int")
+    rows = ingest.ingested_whole(toc, pages, tokens_from=100).orderBy("doc_pk", "node_id").collect()
+    assert [(r["doc_pk"], r["node_id"], r["parent_id"], r["structure"], r["title"], r["start_index"], r["end_index"]) for r in rows] == [
+        (1, "0000", None, "0", "Preface", 1, 2), (1, "0001", None, "1", "Big", 2, 2), (1, "0002", "0001", "1.1", "A", 3, 8), (1, "0003", "0001", "1.2", "B", 9, 14), (1, "0004", None, "2", "Notes", 14, 15),
+        (2, "0000", None, "1", "Only", 1, 2), (2, "0001", "0000", "1.1", "Sub", 2, 2),
+    ]
+    assert rows[1]["summary"] == "<h2>Big</h2> One. Two." and rows[3]["node_text"].startswith("<h3>B</h3>\np10\n")
