@@ -52,7 +52,7 @@ def paths(nodes: DataFrame) -> DataFrame:
 def depth_first(nodes: DataFrame) -> DataFrame:
     """Adds node_id and parent_id, four digits at least, counting each document's nodes depth first from 0; ``nodes`` as for :func:`paths`."""
     number = F.row_number().over(Window.partitionBy("doc_pk").orderBy("path")) - 1
-    named = paths(nodes).withColumn("node_id", F.lpad(number.cast("string"), 4, "0"))
+    named = paths(nodes).withColumn("node_id", padded(number))
     parent = named.select("doc_pk", F.col("ord").alias("parent_ord"), F.col("node_id").alias("parent_id"))
     return named.join(parent, ["doc_pk", "parent_ord"], "left").drop("path")
 

@@ -98,6 +98,44 @@ portable(
 portable("path_node_ids", "SELECT o_orderkey, concat(lpad(cast(r_regionkey AS string), 4, '0'), lpad(cast(n_nationkey AS string), 4, '0'), lpad(cast(c_custkey % 10000 AS string), 4, '0')) AS node_id FROM {PATHS} p")
 
 
+def _padded(number: str) -> str:
+    return f"lpad(cast({number} AS string), greatest(4, length(cast({number} AS string))), '0')"
+
+
+#: Customers with their orders, the nodes of their subtree (size), their place among the nation's customers and the nodes
+#: before theirs in it. Customers are summed in runs of 4096 keys first, so that no window holds a nation.
+_CUSTOMERS = """(SELECT p.c_custkey, p.c_nationkey, place + row_number() OVER (PARTITION BY p.c_nationkey, p.run ORDER BY p.c_custkey) - 1 AS place,
+ before + coalesce(sum(size) OVER (PARTITION BY p.c_nationkey, p.run ORDER BY p.c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+ FROM (SELECT c_custkey, c_nationkey, c_custkey // 4096 AS run, 1 + coalesce(n, 0) AS size FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) o ON c_custkey = o_custkey) p
+ JOIN (SELECT c_nationkey, run, coalesce(sum(count(*)) OVER w, 0) AS place, coalesce(sum(sum(1 + coalesce(n, 0))) OVER w, 0) AS before
+  FROM (SELECT c_nationkey, c_custkey // 4096 AS run, n FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) o ON c_custkey = o_custkey) q GROUP BY c_nationkey, run
+  WINDOW w AS (PARTITION BY c_nationkey ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) r ON p.c_nationkey = r.c_nationkey AND p.run = r.run)"""
+_NATIONS = """(SELECT n_nationkey, n_regionkey, row_number() OVER w - 1 AS place, row_number() OVER w + coalesce(sum(coalesce(size, 0)) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS number
+ FROM {nation} LEFT JOIN (SELECT c_nationkey, sum(n) AS size FROM (SELECT c_nationkey, 1 AS n FROM {customer} UNION ALL SELECT c_nationkey, 1 FROM {orders} JOIN {customer} ON o_custkey = c_custkey) x GROUP BY c_nationkey) s ON n_nationkey = c_nationkey
+ WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey))"""
+_REGIONS = "(SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) - 1 AS place FROM {region})"
+_ORDERS = "(SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM {orders})"
+_NUMBERED = f"""(SELECT concat('r', cast(r_regionkey AS string)) AS node_pk, concat('r', cast(r_regionkey AS string)) AS root_pk, 0 AS number FROM {{region}}
+ UNION ALL SELECT concat('n', cast(n_nationkey AS string)), concat('r', cast(n_regionkey AS string)), number FROM {_NATIONS} n
+ UNION ALL SELECT concat('c', cast(c_custkey AS string)), concat('r', cast(n_regionkey AS string)), number + 1 + before FROM {_CUSTOMERS} c JOIN {_NATIONS} n ON c_nationkey = n_nationkey
+ UNION ALL SELECT concat('o', cast(o_orderkey AS string)), concat('r', cast(n_regionkey AS string)), number + 1 + before + k FROM {_ORDERS} o JOIN {_CUSTOMERS} c ON o_custkey = c_custkey JOIN {_NATIONS} n ON c_nationkey = n_nationkey)"""
+portable(
+    "tree_node_ids",
+    f"SELECT node_pk, root_pk, {_padded('number')} AS node_id FROM {_NUMBERED} x",
+    """SELECT node_pk, root_pk, printf('%04d', row_number() OVER (PARTITION BY r ORDER BY n NULLS FIRST, c NULLS FIRST, o NULLS FIRST) - 1) AS node_id FROM (SELECT concat('r', cast(r_regionkey AS string)) AS node_pk, concat('r', cast(r_regionkey AS string)) AS root_pk, r_regionkey AS r, NULL AS n, NULL AS c, NULL AS o FROM {region}
+ UNION ALL SELECT concat('n', cast(n_nationkey AS string)), concat('r', cast(n_regionkey AS string)), n_regionkey, n_nationkey, NULL, NULL FROM {nation}
+ UNION ALL SELECT concat('c', cast(c_custkey AS string)), concat('r', cast(n_regionkey AS string)), n_regionkey, n_nationkey, c_custkey, NULL FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+ UNION ALL SELECT concat('o', cast(o_orderkey AS string)), concat('r', cast(n_regionkey AS string)), n_regionkey, n_nationkey, c_custkey, o_orderkey FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey) x""",
+)
+portable(
+    "tree_path_ids",
+    f"""SELECT o_orderkey, concat({_padded('r.place')}, {_padded('n.place')}, {_padded('c.place')}, {_padded('(k - 1)')}) AS node_id
+ FROM {_ORDERS} o JOIN {_CUSTOMERS} c ON o_custkey = c_custkey JOIN {_NATIONS} n ON c_nationkey = n_nationkey JOIN {_REGIONS} r ON n_regionkey = r_regionkey""",
+    """SELECT o_orderkey, printf('%04d%04d%04d%04d', r, n, c, o) AS node_id FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS o FROM {orders}) JOIN
+ (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS c FROM {customer}) ON o_custkey = c_custkey JOIN (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS n FROM {nation}) ON c_nationkey = n_nationkey
+ JOIN (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) - 1 AS r FROM {region}) ON n_regionkey = r_regionkey""",
+)
+
 
 @query(
     expand(

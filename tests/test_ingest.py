@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from arborix.operators import ingest
+from arborix.operators import forest, ingest
 from arborix.sources import trees
 
 
@@ -73,3 +73,9 @@ def test_whole_ingestion_places_divides_and_routes(spark):
         (2, "0000", None, "1", "Only", 1, 2), (2, "0001", "0000", "1.1", "Sub", 2, 2),
     ]
     assert rows[1]["summary"] == "<h2>Big</h2> One. Two." and rows[3]["node_text"].startswith("<h3>B</h3>\np10\n")
+
+
+def test_node_ids_beyond_four_digits_stay_whole(spark):
+    toc = spark.range(10_001).selectExpr("1L as doc_pk", "cast(id as int) as ord", "cast(id + 1 as string) as structure", "cast(null as int) as parent_ord")
+    ids = [r["node_id"] for r in forest.depth_first(toc).orderBy("ord").collect()]
+    assert ids[:2] == ["0000", "0001"] and ids[-2:] == ["9999", "10000"]
