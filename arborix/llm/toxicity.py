@@ -64,13 +64,23 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each window of words starts, and the text it belongs to."""
+def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each window of words, and the text it belongs to; one begins at every word that WINDOW words follow from, a shorter text is one."""
     n = np.diff(first)
-    count = -(-n // WINDOW)
+    count = np.where(n > 0, np.maximum(n - WINDOW + 1, 1), 0)
     owner = np.repeat(np.arange(len(n)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return first[:-1][owner] + place * WINDOW, owner
+    start = first[:-1][owner] + place
+    return start, np.minimum(start + WINDOW, first[1:][owner]), owner
+
+
+def summed(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums over windows, word by word, so that equal windows give equal sums wherever they are."""
+    total = values[start]
+    for d in range(1, WINDOW):
+        inside = (start + d < end).astype(values.dtype)
+        total = total + values[np.minimum(start + d, len(values) - 1)] * (inside[:, None] if values.ndim > 1 else inside)
+    return total
 
 
 @dataclass
@@ -87,9 +97,8 @@ class Model:
         if not len(hashes):
             return out
         total = np.bincount(owner, weights=self.cell[cells], minlength=len(hashes)) / np.bincount(owner, minlength=len(hashes))
-        start, doc = windows(first)
-        ends = np.append(start[1:], len(hashes))
-        logit = GAIN * np.add.reduceat(total, start) / (ends - start) + self.bias
+        start, end, doc = windows(first)
+        logit = GAIN * summed(total, start, end) / (end - start) + self.bias
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, doc, logit)
         has = np.isfinite(top)
@@ -100,7 +109,8 @@ class Model:
 def fit(texts: list[bytes], y: np.ndarray, *, epochs: int = EPOCHS, rate: float = RATE, damping: float = DAMPING, decay: float = DECAY, seed: int = 5) -> Model:
     """Embeddings and softmax weights by Adagrad on the loss of each document's likeliest windows.
 
-    A document's logit is the log-sum-exp of those of its windows, so a few toxic words count in a text of any length.
+    A document's logit is the log-sum-exp of those of its windows, so a few toxic words count in a text of any length;
+    windows that overlap count for one, as a score takes only the likeliest.
     """
     rng = np.random.default_rng(seed)
     base = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
@@ -121,12 +131,11 @@ def fit(texts: list[bytes], y: np.ndarray, *, epochs: int = EPOCHS, rate: float
         keep = chosen[owner] if len(owner) else np.empty(0, bool)
         word_of, cell_of = inverse[owner[keep]], cells[keep]
         by_word = np.argsort(word_of, kind="stable")
-        start, doc = windows(first)
-        prepared[k] = (y[g], inverse, word_of[by_word].astype(np.int32), cell_of[by_word].astype(np.int32), start, doc, len(unique), len(g))
+        prepared[k] = (y[g], inverse, word_of[by_word].astype(np.int32), cell_of[by_word].astype(np.int32), *windows(first), len(unique), len(g))
     for epoch in range(epochs):
         pace = rate * (1 - epoch / epochs) + 0.02
         for k in rng.permutation(len(groups)):
-            target, inverse, word_of, cell_of, start, doc, n_words, n_docs = prepared[k]
+            target, inverse, word_of, cell_of, start, end, doc, n_words, n_docs = prepared[k]
             if not len(inverse):
                 continue
             used, local = np.unique(cell_of, return_inverse=True)
@@ -134,8 +143,8 @@ def fit(texts: list[bytes], y: np.ndarray, *, epochs: int = EPOCHS, rate: float
             n_features = np.diff(np.append(first_feature, len(word_of)))
             rows = table[used]
             words = np.add.reduceat(rows[local], first_feature, axis=0) / n_features[:, None]
-            sizes = np.diff(np.append(start, len(inverse)))
-            average = np.add.reduceat(words[inverse], start, axis=0) / sizes[:, None]
+            sizes = end - start
+            average = summed(words[inverse], start, end) / sizes[:, None]
             direction = softmax[1] - softmax[0]
             logit = GAIN * average @ direction + bias
             top = np.full(n_docs, -np.inf)
@@ -144,10 +153,12 @@ def fit(texts: list[bytes], y: np.ndarray, *, epochs: int = EPOCHS, rate: float
             mass = np.bincount(doc, weights=power, minlength=n_docs)
             has = mass > 0
             whole = np.where(has, np.where(has, top, 0) + np.log(np.where(has, mass, 1)), 0)
+            whole -= np.log(np.clip(np.bincount(doc, minlength=n_docs), 1, WINDOW))
             error = np.where(has, 1 / (1 + np.exp(-np.clip(whole, -40, 40))) - target, 0)
             push = (error[doc] * power / mass[doc] / n_docs).astype(np.float32)
             grad_direction = GAIN * (push[:, None] * average).sum(axis=0)
-            per_word = np.bincount(inverse, weights=np.repeat(push / sizes, sizes), minlength=n_words) * GAIN / n_features
+            share = np.bincount(start, weights=push / sizes, minlength=len(inverse) + 1) - np.bincount(end, weights=push / sizes, minlength=len(inverse) + 1)
+            per_word = np.bincount(inverse, weights=np.cumsum(share)[:-1], minlength=n_words) * GAIN / n_features
             per_cell = np.bincount(local, weights=np.repeat(per_word, n_features), minlength=len(used))
             grad_rows = per_cell[:, None] * direction[None, :]
             squares_table[used] += grad_rows**2

@@ -263,3 +263,12 @@ def test_token_counts_like_the_tokenizer(spark):
     texts = [r[1] for r in fx.odd_rows()] + ["  a  b", "\n\nx ", "<s> </s> <0x0A>", "▁▁x▁", " " * 40]
     got = token_counts.token_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
     assert [r["n_tokens"] for r in sorted(got)] == [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def test_toxicity_windows_begin_at_every_word():
+    model = toxicity.Model(np.random.default_rng(3).normal(0, 3, 1 << toxicity.BITS), 0.1, 0.5)
+    words = [f"word{i}" for i in range(11)]
+    with np.errstate(over="ignore"):
+        for n in range(1, len(words) + 1):
+            runs = [" ".join(words[i : min(i + toxicity.WINDOW, n)]).encode() for i in range(max(n - toxicity.WINDOW + 1, 1))]
+            assert model.score([b"other", " ".join(words[:n]).encode(), b""])[1] == pytest.approx(model.score(runs).max(), abs=1e-12)
