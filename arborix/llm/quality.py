@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.llm.common import IS_WORD, batches, crc_fold, small_batches
-from arborix.llm.labelled import labelled_sample
+from arborix.llm.labelled import LONGEST, labelled_sample
 
 #: Hashed features, dimensions of the latent vectors, neighbours that vote, and the power of the similarity that weighs a vote.
 CELLS, DIMENSIONS, NEIGHBOURS, POWER = 4096, 64, 24, 16.0
@@ -81,16 +81,21 @@ class Neighbours:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, by exact cosines in one matrix product, each weighted by its similarity."""
+        """Share of label 1 among the nearest labelled vectors, by exact cosines in one matrix product, each weighted by its similarity.
+
+        Vectors as near as the last neighbour all vote, so ties do not depend on an order.
+        """
         out = np.full(len(texts), self.prior)
         full = np.array([i for i, t in enumerate(texts) if t.strip()], dtype=np.int64)
         if not len(full) or not len(self.labels):
             return out
         near = self.embed([texts[i] for i in full]) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        at = np.argpartition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k :]
-        weight = np.maximum(np.take_along_axis(near, at, axis=1), 1e-6) ** POWER
-        out[full] = np.clip((weight * self.labels[at]).sum(axis=1) / weight.sum(axis=1), 0, 1)
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        row, at = np.nonzero(near >= least[:, None])
+        weight = np.maximum(near[row, at], 1e-6).astype(float) ** POWER
+        votes, total = (np.bincount(row, weights=w, minlength=len(full)) for w in (weight * self.labels[at], weight))
+        out[full] = np.clip(votes / total, 0, 1)
         return out
 
 
@@ -113,16 +118,16 @@ def fit(texts: list[bytes], y: np.ndarray, *, seed: int = 3) -> Neighbours:
     return model
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int] | None = None, folds: int = 5, held_out: int = 0) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int] | None = None, longest: int = LONGEST, folds: int = 5, held_out: int = 0) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted.
 
     The neighbours are a bounded sample of documents with ``labels.quality`` outside the held-out fold (``sample``:
-    documents of each class); every document is compared with all of them, in blocks. Only the text enters a score.
+    documents of each class, of ``longest`` characters at most); every document is compared with all of them, in blocks. Only the text enters a score.
     Null and blank texts, and all texts where nothing is labelled, get the share of label 1 in the sample. Repeated
     rows give the same values again; extra columns play no part; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "quality", sample or SAMPLE, folds=folds, held_out=held_out)
+    rows = labelled_sample(docs, labels, "quality", sample or SAMPLE, folds=folds, held_out=held_out, longest=longest)
     model = fit([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["y"].to_numpy(dtype=np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -139,4 +144,5 @@ def quality(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int] | None
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents: doc_id, held_out, score, predicted."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -1,4 +1,4 @@
-"""Toxicity: subword-bag embeddings, averaged over windows of words into a linear softmax, trained jointly in numpy."""
+"""Toxicity: each word's bag of subword embeddings, averaged into a linear softmax; a text pools its words; all trained jointly in numpy."""
 
 from __future__ import annotations
 
@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.llm.common import IS_WORD, batches, crc_fold, mix64, small_batches, spans, word_hashes
-from arborix.llm.labelled import labelled_sample
+from arborix.llm.labelled import LONGEST, labelled_sample
 
 BITS, DIMENSIONS = 16, 8
 SUBWORDS = (3, 4, 5)
 PREFIXES = (4, 5, 6, 7, 8)
-#: Words that are averaged together, and the factor on the average before the softmax.
-WINDOW, GAIN = 4, 4.0
+#: Factor on a word's average before the softmax.
+GAIN = 8.0
 #: At most so many labelled documents of each class are fitted on.
 SAMPLE = {1: 1500, 0: 2500}
 EPOCHS = 8
+#: Weight of a toxic document in the loss.
+WEIGHT = 3.0
 #: Step size, damping of the steps of rare features, and shrinkage of a cell each time it is used.
 RATE, DAMPING, DECAY = 0.3, 1e-5, 0.0
 
@@ -63,24 +65,18 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hashes, first, np.concatenate(cells), np.concatenate(owner)
 
 
+def pooled(logit: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's logit from those of its words, and the weights that it gives them: e to the logit, and their sums (0 without words).
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each window of words, and the text it belongs to; one begins at every word that WINDOW words follow from, a shorter text is one."""
-    n = np.diff(first)
-    count = np.where(n > 0, np.maximum(n - WINDOW + 1, 1), 0)
-    owner = np.repeat(np.arange(len(n)), count)
-    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = first[:-1][owner] + place
-    return start, np.minimum(start + WINDOW, first[1:][owner]), owner
-
-
-def summed(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Sums over windows, word by word, so that equal windows give equal sums wherever they are."""
-    total = values[start]
-    for d in range(1, WINDOW):
-        inside = (start + d < end).astype(values.dtype)
-        total = total + values[np.minimum(start + d, len(values) - 1)] * (inside[:, None] if values.ndim > 1 else inside)
-    return total
+    The log-sum-exp lets a single toxic word count in a text of any length, and several weak ones together. Training and
+    scoring pool alike.
+    """
+    top = np.full(n_docs, -np.inf)
+    np.maximum.at(top, doc, logit)
+    power = np.exp(logit - top[doc])
+    mass = np.bincount(doc, weights=power, minlength=n_docs)
+    has = mass > 0
+    return np.where(has, top, 0) + np.log(np.where(has, mass, 1)), power, mass
 
 
 @dataclass
@@ -96,22 +92,16 @@ class Model:
         out = np.full(len(texts), self.base)
         if not len(hashes):
             return out
-        total = np.bincount(owner, weights=self.cell[cells], minlength=len(hashes)) / np.bincount(owner, minlength=len(hashes))
-        start, end, doc = windows(first)
-        logit = GAIN * summed(total, start, end) / (end - start) + self.bias
-        top = np.full(len(texts), -np.inf)
-        np.maximum.at(top, doc, logit)
-        has = np.isfinite(top)
-        out[has] = 1 / (1 + np.exp(-np.clip(top[has], -40, 40)))
+        average = np.bincount(owner, weights=self.cell[cells], minlength=len(hashes)) / np.bincount(owner, minlength=len(hashes))
+        doc = np.repeat(np.arange(len(texts)), np.diff(first))
+        whole, _, mass = pooled(GAIN * average + self.bias, doc, len(texts))
+        has = mass > 0
+        out[has] = 1 / (1 + np.exp(-np.clip(whole[has], -40, 40)))
         return out
 
 
 def fit(texts: list[bytes], y: np.ndarray, *, epochs: int = EPOCHS, rate: float = RATE, damping: float = DAMPING, decay: float = DECAY, seed: int = 5) -> Model:
-    """Embeddings and softmax weights by Adagrad on the loss of each document's likeliest windows.
-
-    A document's logit is the log-sum-exp of those of its windows, so a few toxic words count in a text of any length;
-    windows that overlap count for one, as a score takes only the likeliest.
-    """
+    """Embeddings, softmax weights and bias by Adagrad on the log loss of documents, whose words are pooled as in scoring."""
     rng = np.random.default_rng(seed)
     base = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.5
     if not len(y) or y.min() == y.max():
@@ -131,11 +121,11 @@ def fit(texts: list[bytes], y: np.ndarray, *, epochs: int = EPOCHS, rate: float
         keep = chosen[owner] if len(owner) else np.empty(0, bool)
         word_of, cell_of = inverse[owner[keep]], cells[keep]
         by_word = np.argsort(word_of, kind="stable")
-        prepared[k] = (y[g], inverse, word_of[by_word].astype(np.int32), cell_of[by_word].astype(np.int32), *windows(first), len(unique), len(g))
+        prepared[k] = (y[g], inverse, word_of[by_word].astype(np.int32), cell_of[by_word].astype(np.int32), np.repeat(np.arange(len(g)), np.diff(first)), len(unique), len(g))
     for epoch in range(epochs):
         pace = rate * (1 - epoch / epochs) + 0.02
         for k in rng.permutation(len(groups)):
-            target, inverse, word_of, cell_of, start, end, doc, n_words, n_docs = prepared[k]
+            target, inverse, word_of, cell_of, doc, n_words, n_docs = prepared[k]
             if not len(inverse):
                 continue
             used, local = np.unique(cell_of, return_inverse=True)
@@ -143,23 +133,14 @@ def fit(texts: list[bytes], y: np.ndarray, *, epochs: int = EPOCHS, rate: float
             n_features = np.diff(np.append(first_feature, len(word_of)))
             rows = table[used]
             words = np.add.reduceat(rows[local], first_feature, axis=0) / n_features[:, None]
-            sizes = end - start
-            average = summed(words[inverse], start, end) / sizes[:, None]
             direction = softmax[1] - softmax[0]
-            logit = GAIN * average @ direction + bias
-            top = np.full(n_docs, -np.inf)
-            np.maximum.at(top, doc, logit)
-            power = np.exp(logit - top[doc])
-            mass = np.bincount(doc, weights=power, minlength=n_docs)
+            whole, power, mass = pooled((GAIN * words @ direction + bias)[inverse], doc, n_docs)
             has = mass > 0
-            whole = np.where(has, np.where(has, top, 0) + np.log(np.where(has, mass, 1)), 0)
-            whole -= np.log(np.clip(np.bincount(doc, minlength=n_docs), 1, WINDOW))
-            error = np.where(has, 1 / (1 + np.exp(-np.clip(whole, -40, 40))) - target, 0)
+            error = np.where(has, 1 / (1 + np.exp(-np.clip(whole, -40, 40))) - target, 0) * np.where(target == 1, WEIGHT, 1.0)
             push = (error[doc] * power / mass[doc] / n_docs).astype(np.float32)
-            grad_direction = GAIN * (push[:, None] * average).sum(axis=0)
-            share = np.bincount(start, weights=push / sizes, minlength=len(inverse) + 1) - np.bincount(end, weights=push / sizes, minlength=len(inverse) + 1)
-            per_word = np.bincount(inverse, weights=np.cumsum(share)[:-1], minlength=n_words) * GAIN / n_features
-            per_cell = np.bincount(local, weights=np.repeat(per_word, n_features), minlength=len(used))
+            per_word = np.bincount(inverse, weights=push, minlength=n_words) * GAIN
+            grad_direction = per_word @ words
+            per_cell = np.bincount(local, weights=np.repeat(per_word / n_features, n_features), minlength=len(used))
             grad_rows = per_cell[:, None] * direction[None, :]
             squares_table[used] += grad_rows**2
             table[used] = rows * (1 - decay) - pace * grad_rows / np.sqrt(squares_table[used])
@@ -172,16 +153,16 @@ def fit(texts: list[bytes], y: np.ndarray, *, epochs: int = EPOCHS, rate: float
     return Model((table @ (softmax[1] - softmax[0])).astype(np.float64), bias, base)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int] | None = None, folds: int = 5, held_out: int = 0) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int] | None = None, longest: int = LONGEST, folds: int = 5, held_out: int = 0) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted.
 
-    Learns ``labels.toxic`` from a bounded sample (``sample``: documents of each class) outside the held-out fold; only
-    the text enters a score. Whole texts are scored, as their most toxic window; null texts and texts without words get
+    Learns ``labels.toxic`` from a bounded sample (``sample``: documents of each class, of ``longest``
+    characters at most) outside the held-out fold; only the text enters a score. All words of a text are scored and pooled; null texts and texts without words get
     the share of toxic documents in the sample. Without labels every score is that of no knowledge. Repeated rows give
     the same values again; extra columns play no part; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "toxic", sample or SAMPLE, folds=folds, held_out=held_out)
+    rows = labelled_sample(docs, labels, "toxic", sample or SAMPLE, folds=folds, held_out=held_out, longest=longest)
     with np.errstate(over="ignore"):
         model = fit([t.encode("utf-8", "surrogatepass") for t in rows["text"]], rows["y"].to_numpy(dtype=np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -199,4 +180,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample: dict[int, int] | Non
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents: doc_id, held_out, score, predicted."""
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
