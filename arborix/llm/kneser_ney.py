@@ -19,6 +19,10 @@ from arborix.llm.common import batches, crc_fold, map_sorted_groups, scratch_dir
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task gathers before it sorts and hands on counts.
 GATHER = 1 << 22
+#: Tokens for each file of the model, and the number of files at least; a file is merged by one task.
+FILE_TOKENS, FILES = 1 << 21, 16
+#: Bytes of text that a token takes, as the size of the input is known before its tokens are.
+TOKEN_BYTES = 6
 #: Distinct words in a stretch of ids.
 STRETCH = 1 << 18
 BATCH = 1 << 21
@@ -174,13 +178,13 @@ def pair_part(keys: np.ndarray, spread: int) -> np.ndarray:
 def train(texts: DataFrame, *, files: int | None = None) -> Model:
     """Counts every text of ``texts`` (column text; null: empty) and writes the model's arrays into the shared folder.
 
-    First words, then pairs of word ids: tasks sort and count what they have read and hand on packed sorted arrays;
-    each file is merged by one task, and there are as many files as the input has tokens for, so tasks stay small at
-    any size. What contexts and continuations add up to goes through a second such merge by stretches of ids.
+    First words, then pairs of word ids: tasks sort and count what they have read and hand on packed sorted arrays.
+    Each file is merged by one task. A pass over the lengths of all texts says how many files there are, about one for
+    FILE_TOKENS tokens, so what a task merges stays level however large the input is. What contexts and continuations add up to goes through a second such merge by stretches of ids.
     """
     spark = texts.sparkSession
     folder = scratch_dir(spark)
-    files = files or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    files = files or max(FILES, (texts.agg(F.sum(F.octet_length("text") + TOKEN_BYTES)).first()[0] or 0) // (TOKEN_BYTES * FILE_TOKENS))
     bits = max(1, int(np.ceil(np.log2(files))))
     packed = "part long, keys binary, counts binary"
 
@@ -315,4 +319,5 @@ def lm_scores(docs: DataFrame, *, folds: int = 5, held_out: int = 1) -> DataFram
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model scores of all documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
