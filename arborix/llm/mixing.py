@@ -15,8 +15,8 @@ from arborix.llm.ranking import running
 
 #: Weights of the sources in order of their names, repeating; the mix has SHARE times all words; no source more than CAP times its own.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
-#: Words in a block at most; a source of fewer than BLOCKS times as many has shorter blocks, so rounding to blocks stays small.
-BLOCK, BLOCKS = 64, 512
+#: Words in a block; what is left of a source is its last, shorter block.
+BLOCK = 64
 #: Slots of an output shard.
 SHARD = 4096
 ROUNDS = 24
@@ -61,48 +61,53 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 
 class Catalogue:
-    """The sources in order of code points, null last, with their sizes, targets and numbers of blocks and slots."""
+    """The sources in order of code points, null last: sizes, targets, full blocks, words of the last block, and slots.
 
-    def __init__(self, found: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, cap: float, limit: int):
-        if len(found) > limit:
-            raise ValueError(f"{len(found)} sources; the driver plans for {limit} at most")
+    A source gives round(target) words: whole epochs over all its blocks, then single blocks, then the first words of
+    one more (``part`` of them, 0 if none).
+    """
+
+    def __init__(self, found: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, cap: float):
         found = sorted(found, key=lambda x: (x[0] is None, x[0] or ""))
         self.names = [x for x, _ in found]
         self.size = np.array([n for _, n in found], dtype=np.int64)
         self.target = np.array(targets([int(n) for n in self.size], weights=weights, share=share, cap=cap), dtype=float)
-        self.block = np.clip(self.size // BLOCKS, 1, BLOCK)
-        self.blocks = -(-self.size // self.block)
-        whole = np.floor(self.target / np.maximum(self.size, 1)).astype(np.int64)
-        rest = self.target - whole * self.size
-        slots = whole * self.blocks + np.round(rest * self.blocks / np.maximum(self.size, 1)).astype(np.int64)
-        self.slots = np.minimum(slots, int(cap) * self.blocks) if cap >= 1 else np.minimum(slots, self.blocks)
+        self.full, self.tail = self.size // BLOCK, self.size % BLOCK
+        self.blocks = self.full + (self.tail > 0)
+        words = np.minimum(np.round(self.target), np.floor(cap * self.size)).astype(np.int64)
+        epochs, rest = np.divmod(words, np.maximum(self.size, 1))
+        single = np.minimum(rest // BLOCK, self.full)
+        self.part = rest - single * BLOCK
+        self.slots = epochs * self.blocks + single + (self.part > 0)
 
 
-def placed(docs: DataFrame, *, weights: tuple[float, ...], share: float, cap: float, limit: int, text: bool) -> tuple[DataFrame, Catalogue]:
-    """Rows with row_key, src, size and where their words begin in their source's stream."""
+def placed(docs: DataFrame, *, weights: tuple[float, ...], share: float, cap: float, limit: int, text: bool) -> tuple[DataFrame | None, DataFrame, Catalogue]:
+    """Rows with _row, _src, _size and where their words begin in their source's stream; with ``text``, also the documents by _row, as structs."""
     small_batches(docs.sparkSession)
-    own = [F.col("text")] if text else []
-    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "source", "_row", "_tie", "_src", "_size", "_before", "_runs")] if text else []
+    names = docs.columns if text else ["doc_id", "source"]
     tie = F.xxhash64("doc_id", "source", "text").alias("_tie")  # orders rows by what they hold, so reruns agree however files are split
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), tie, "doc_id", "source", word_count("text").alias("_size"), *own, *rest))
-    sums = rows.groupBy("source").agg(F.sum("_size").alias("n")).collect()
-    catalogue = Catalogue([(r["source"], r["n"]) for r in sums], weights, share, cap, limit)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), tie, word_count("text").alias("_size"), F.struct(*[docs[c] for c in names]).alias("_doc")))
+    sums = rows.groupBy(F.col("_doc.source").alias("source")).agg(F.sum("_size").alias("n")).limit(limit + 1).collect()
+    if len(sums) > limit:
+        raise ValueError(f"more than {limit} sources, for which the driver plans")
+    catalogue = Catalogue([(r["source"], r["n"]) for r in sums], weights, share, cap)
     spark = docs.sparkSession
     table = spark.createDataFrame(
         [(i, n, int(catalogue.size[i]), float(catalogue.target[i])) for i, n in enumerate(catalogue.names)], "_src int, _name string, _source_size long, _target double"
     )
-    slim = rows.select("_row", "_tie", "doc_id", "source", "_size")
+    slim = rows.select("_row", "_tie", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), "_size")
     keyed = slim.join(F.broadcast(table), slim["source"].eqNullSafe(table["_name"])).drop("_name")  # at most ``limit`` sources
-    spots = materialize(running(keyed, "_src", F.col("_size"), ["doc_id", "_tie", "_row"], F.xxhash64("doc_id", "_tie"), name="_before"))
-    return (rows, spots, catalogue) if text else (None, spots, catalogue)
+    spots = materialize(running(keyed, "_src", F.col("_size"), ["doc_id", "_tie", "_row"], F.xxhash64("doc_id", "_tie"), count=rows.count(), name="_before"))
+    return (rows if text else None), spots, catalogue
 
 
 def drawn_slots(spark: SparkSession, catalogue: Catalogue, seed: int) -> DataFrame:
-    """(shard, src, epoch, block) of every slot of the mix.
+    """(shard, src, epoch, block, words) of every slot of the mix: which block, and how many of its words from the first on.
 
     Each shard draws how many slots each source gets, independently of the others. A source's draws are then numbered
     over all shards; where the draws of a source exceed its slots, the excess goes to sources that drew too few, by
-    number, so every source gets its slots exactly. Slot q shows block permutation(q mod blocks) in epoch q div blocks.
+    number, so every source gets its slots exactly. In epoch q div blocks slot q shows block permutation(q mod blocks);
+    the permutation is one of the full blocks, and the shorter last block follows them.
     """
     total = int(catalogue.slots.sum())
     share = catalogue.slots / max(total, 1)
@@ -120,7 +125,7 @@ def drawn_slots(spark: SparkSession, catalogue: Catalogue, seed: int) -> DataFra
 
     parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
     counts = spark.range(0, shards, 1, parts).mapInPandas(draw, "shard long, src int, n long")
-    numbered = running(counts, "src", F.col("n"), ["shard"], F.xxhash64("shard"), name="first")
+    numbered = running(counts, "src", F.col("n"), ["shard"], F.xxhash64("shard"), count=shards * min(SHARD, len(share)), name="first")
     drawn = np.zeros(len(catalogue.slots), dtype=np.int64)
     for row in counts.groupBy("src").agg(F.sum("n").alias("n")).collect():
         drawn[row["src"]] = row["n"]
@@ -138,29 +143,28 @@ def drawn_slots(spark: SparkSession, catalogue: Catalogue, seed: int) -> DataFra
                 number = over_first[src[extra]] + q[extra] - catalogue.slots[src[extra]]
                 to = np.searchsorted(under_end, number, side="right")
                 src[extra], q[extra] = to, drawn[to] + number - (under_end[to] - under[to])
-                blocks = catalogue.blocks[src]
-                epoch = q // blocks
+                last = (q == catalogue.slots[src] - 1) & (catalogue.part[src] > 0)
+                epoch, at = np.divmod(q, catalogue.blocks[src])
+                full = catalogue.full[src]
+                inner = at < full
                 with np.errstate(over="ignore"):
                     key = mix64(np.uint64(seed) * np.uint64(0xD1342543DE82EF95) + src.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + epoch.astype(np.uint64))
-                    block = permuted(q % blocks, blocks, key)
-                yield pd.DataFrame({"shard": np.repeat(part["shard"].to_numpy(), n), "src": src.astype(np.int32), "epoch": epoch.astype(np.int32), "block": block})
-
-    return numbered.select("shard", "src", "n", "first").mapInPandas(spread, "shard long, src int, epoch int, block long")
-
-
-def block_overlaps(spots: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """(_row, src, block, a, b): the words a to b of a document lie in that block of its source."""
-    length = F.element_at(F.lit([int(x) for x in catalogue.block]) if len(catalogue.block) else F.array(F.lit(1)), F.col("_src") + 1).cast("long")
-    some = spots.where("_size > 0").withColumn("_len", length)
-    first, last = F.expr("_before div _len"), F.expr("(_before + _size - 1) div _len")
-    dealt = some.withColumn("block", F.explode(F.sequence(first, last)))
-    return dealt.select(
-        "_row",
-        F.col("_src").alias("src"),
-        "block",
-        F.greatest(F.lit(0), F.col("block") * F.col("_len") - F.col("_before")).alias("a"),
-        F.least("_size", (F.col("block") + 1) * F.col("_len") - F.col("_before")).alias("b"),
-    )
+                    block = at.copy()
+                    block[inner] = permuted(at[inner], full[inner], key[inner])
+                words = np.where(last, catalogue.part[src], np.where(inner, BLOCK, catalogue.tail[src]))
+                yield pd.DataFrame({"shard": np.repeat(part["shard"].to_numpy(), n), "src": src.astype(np.int32), "epoch": epoch.astype(np.int32), "block": block, "words": words.astype(np.int32)})
+
+    return numbered.select("shard", "src", "n", "first").mapInPandas(spread, "shard long, src int, epoch int, block long, words int")
+
+
+def block_overlaps(spots: DataFrame) -> DataFrame:
+    """(_row, _size, src, block, at): documents with the blocks that hold words of theirs; the block begins at the document's word ``at`` (before it: negative)."""
+    some = spots.where("_size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"_before div {BLOCK}"), F.expr(f"(_before + _size - 1) div {BLOCK}"))))
+    return some.select("_row", "_size", F.col("_src").alias("src"), "block", (F.col("block") * BLOCK - F.col("_before")).alias("at"))
+
+
+#: The document's words from _FROM up to _TO are those that a slot takes of it; none if _TO is not the larger.
+_FROM, _TO = "greatest(0L, at)", "least(_size, at + words)"
 
 
 def mixed(
@@ -169,13 +173,14 @@ def mixed(
     """Per row: doc_id, size, source_size, target, taken.
 
     ``size`` counts words (null text: 0), ``target`` is what the row's source should give and ``taken`` how many of the
-    row's words the mix takes, repeats counted: never more than ``cap`` times ``size``. Reruns agree. Rows with null or repeated doc_ids count on their own; a null source is a source;
-    sources without words have target 0. Extra columns play no part; an empty table gives an empty result.
-    The driver holds one number for each source, ``limit`` of them at most (more raise an error).
+    row's words the mix takes, repeats counted. A source gives its target, rounded to a whole word, and each of its words
+    at most ceil(``cap``) times. Reruns agree. Rows with null or repeated doc_ids count on their own; a null source is a
+    source; sources without words have target 0. Extra columns play no part; an empty table gives an empty result.
+    The driver holds some numbers for each source, ``limit`` of them at most (more raise an error).
     """
     _, spots, catalogue = placed(docs, weights=weights, share=share, cap=cap, limit=limit, text=False)
-    times = drawn_slots(docs.sparkSession, catalogue, seed).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = block_overlaps(spots, catalogue).join(times, ["src", "block"]).groupBy("_row").agg(F.sum((F.col("b") - F.col("a")) * F.col("times")).alias("taken"))
+    times = drawn_slots(docs.sparkSession, catalogue, seed).groupBy("src", "block", "words").agg(F.count(F.lit(1)).alias("times"))
+    taken = block_overlaps(spots).join(times, ["src", "block"]).where(f"{_TO} > {_FROM}").groupBy("_row").agg(F.expr(f"sum(({_TO} - {_FROM}) * times) AS taken"))
     return spots.join(taken, "_row", "left").select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
@@ -207,17 +212,20 @@ def mixed_documents(
     """The mix itself, as rows with the columns of ``docs``: one for each document and epoch that the mix takes words from.
 
     ``text`` holds the taken words in their order (the whole text unchanged if all are taken); ``n_chars``, if there,
-    its length. A document that is taken twice gives two rows. Rows without words cannot be taken. Columns named
-    like the operator's own (_row, _tie, _src, _size, _before, _runs) are not supported and dropped.
+    its length. A document that is taken twice gives two rows. Rows without words cannot be taken. All columns of
+    ``docs`` are kept, whatever their names; ties, nulls and repeats count as in :func:`mixed`.
     """
     rows, spots, catalogue = placed(docs, weights=weights, share=share, cap=cap, limit=limit, text=True)
     slots = drawn_slots(docs.sparkSession, catalogue, seed)
-    runs = block_overlaps(spots, catalogue).join(slots, ["src", "block"]).groupBy("_row", "epoch").agg(F.collect_list(F.struct("a", "b")).alias("_runs"))
-    taken = rows.join(runs.select("_row", "_runs"), "_row").withColumn("text", _words_between("text", "_runs"))
+    met = block_overlaps(spots).join(slots, ["src", "block"]).where(f"{_TO} > {_FROM}")
+    runs = met.groupBy("_row", "epoch").agg(F.collect_list(F.struct(F.expr(_FROM).alias("a"), F.expr(_TO).alias("b"))).alias("_runs"))
+    taken = rows.select("_row", "_doc").join(runs.select("_row", "_runs"), "_row").withColumn("_taken", _words_between("_doc.text", "_runs"))
+    made = {"text": F.col("_taken")}
     if "n_chars" in docs.columns:
-        taken = taken.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return taken.select(*[c for c in docs.columns if c in taken.columns])
+        made["n_chars"] = F.length("_taken").cast(docs.schema["n_chars"].dataType)
+    return taken.select(*[made.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: doc_id, size, source_size, target, taken."""
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -19,19 +19,25 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(name: str):
-    """The public byte-level BPE ``name``, one for each worker process.
+    """The public byte-level BPE ``name`` with the added tokens of its file, one for each worker process.
 
-    The rank file of the same vocabulary gives the ids of ``name``.json several times faster; a test holds them equal.
+    The rank file of the same vocabulary gives the ids of ``name``.json several times faster, and added tokens part a
+    text as they do there: ``<|endoftext|>`` in a text is one id. Tests hold the ids equal to those of the JSON file.
     """
     if name not in _encoders:
         import base64
+        import json
 
         import public_tokenizers as public
         import tiktoken
 
         with open(public.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _encoders[name] = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public.path(f"{name}.json"), encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{name} has added tokens that take white space with them")
+        _encoders[name] = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
     return _encoders[name]
 
 
@@ -40,13 +46,13 @@ def token_ids(text: str | None, name: str, end: int = 0) -> np.ndarray:
     if not isinstance(text, str) or not text:
         return np.array([end], dtype="<u4")
     text = text.encode("utf-8", "replace").decode("utf-8")
-    return np.concatenate([encoder(name).encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4"), np.array([end], dtype="<u4")])
+    return np.concatenate([encoder(name).encode_to_numpy(text, allowed_special="all").astype("<u4"), np.array([end], dtype="<u4")])
 
 
 def pieces(docs: DataFrame, *, window: int = WINDOW, tokenizer: str = TOKENIZER) -> DataFrame:
     """Each document cut into full windows and what remains: row_key, doc_id, start, length, doc_tokens, crc, ids.
 
-    ``ids`` holds the remainder's ids (little-endian, 16 bits each); full windows are never cut again and carry none.
+    ``ids`` holds the remainder's ids (little-endian, 32 bits each); full windows are never cut again and carry none.
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,7 +64,7 @@ def pieces(docs: DataFrame, *, window: int = WINDOW, tokenizer: str = TOKENIZER)
                 for start in range(0, n, window):
                     part = ids[start : start + window]
                     whole = len(part) == window
-                    rows.append((key, doc_id, start, len(part), n, zlib.crc32(part.tobytes()), None if whole else part.astype("<u2").tobytes()))
+                    rows.append((key, doc_id, start, len(part), n, zlib.crc32(part.tobytes()), None if whole else part.tobytes()))
                 if len(rows) > 4096:
                     yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
                     rows = []
@@ -209,7 +215,7 @@ def packed(docs: DataFrame, *, window: int = WINDOW, tokenizer: str = TOKENIZER)
     for row in cut.groupBy("length").count().collect():
         histogram[row["length"]] = row["count"]
     plan = docs.sparkSession.sparkContext.broadcast(Plan(histogram, window))
-    ranked = running(cut, "length", F.lit(1), ["row_key", "start"], F.xxhash64("row_key", "start"), name="rank")
+    ranked = running(cut, "length", F.lit(1), ["row_key", "start"], F.xxhash64("row_key", "start"), count=int(histogram.sum()), name="rank")
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -222,7 +228,7 @@ def packed(docs: DataFrame, *, window: int = WINDOW, tokenizer: str = TOKENIZER)
                 parts = plan.value.cuts(at, at + n)
                 for a, b, number, place in parts:
                     if len(parts) > 1:
-                        crc = zlib.crc32(np.frombuffer(ids, dtype="<u2")[a - at : b - at].astype("<u4").tobytes())
+                        crc = zlib.crc32(ids[4 * (a - at) : 4 * (b - at)])
                     rows.append((doc_id, start + a - at, b - a, total, crc, number, place))
             if rows:
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
@@ -233,5 +239,6 @@ def packed(docs: DataFrame, *, window: int = WINDOW, tokenizer: str = TOKENIZER)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     found = packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that each key is dealt into; a part is what one window sorts.
-PARTS = 256
+#: Parts that each key is dealt into at least, and rows of a part if one key has all rows; a part is what one window sorts.
+PARTS, PART_ROWS = 256, 1_000_000
 
 
-def running(rows: DataFrame, key: str, weight: Column, order: list[str], spread: Column, *, name: str = "before", parts: int = PARTS) -> DataFrame:
+def running(rows: DataFrame, key: str, weight: Column, order: list[str], spread: Column, *, count: int, name: str = "before") -> DataFrame:
     """``rows`` with column ``name``: the sum of ``weight`` over the rows of the same key that come before.
 
     Order: the part that ``spread`` (a hash) puts a row in, then ``order``, which should tell rows apart. A key is dealt
-    into ``parts`` parts. One aggregate gives the sum of each, from which each part's start follows; the rows are sorted
+    into parts, as many as ``count``, the number of all rows, asks for. One aggregate gives the sum of each, from which each part's start follows; the rows are sorted
     within parts only, so a key with a third of all rows still makes many small windows.
     """
+    parts = max(PARTS, -(-count // PART_ROWS))
     placed = rows.withColumn("_part", F.pmod(spread, F.lit(parts)).cast("int")).withColumn("_weight", weight)
     totals = placed.groupBy(key, "_part").agg(F.sum("_weight").alias("_total"))
     across = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
