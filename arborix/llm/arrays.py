@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import mmap
 import os
+import sys
 import tempfile
 import uuid
 from functools import lru_cache
@@ -55,6 +57,19 @@ def write_array(folder: str, name: str, values: np.ndarray) -> str:
     return uri
 
 
+def _mapped(path: str) -> np.ndarray:
+    """The array in a file, memory-mapped; the file itself is closed again, so a worker may hold thousands."""
+    with open(path, "rb") as f:
+        version = np.lib.format.read_magic(f)
+        header = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, _, dtype = header(f)
+        size, at = os.fstat(f.fileno()).st_size, f.tell()
+        if size == at:
+            return np.empty(shape, dtype=dtype)
+        view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+    return np.frombuffer(view, dtype=dtype, offset=at).reshape(shape)
+
+
 @lru_cache(maxsize=4096)
 def open_array(uri: str) -> np.ndarray:
     """The array, memory-mapped. A file in a remote store is copied to the worker's own disk once, for that worker only."""
@@ -63,7 +78,7 @@ def open_array(uri: str) -> np.ndarray:
         with system.open_input_stream(path) as f, tempfile.NamedTemporaryFile(prefix="arborix-", suffix=".npy", delete=False) as local:
             while chunk := f.read(1 << 22):
                 local.write(chunk)
-        mapped = np.load(local.name, mmap_mode="r")
+        mapped = _mapped(local.name)
         os.unlink(local.name)  # the mapping stays
         return mapped
-    return np.load(path, mmap_mode="r")
+    return _mapped(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,17 +15,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arborix.llm.arrays import open_array, write_array
+
 # ---------------------------------------------------------------- scratch tables
 
 
+_local_roots: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared folder in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder name below the shared folder in ``spark.checkpoint.dir``.
+
+    Where that is unset a local master gets a temporary folder that goes with the driver; on a cluster it is an error, as
+    executors would write to disks that the driver does not see. The session's settings are not changed.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-arborix-")
-        atexit.register(shutil.rmtree, root, True)
-        root = f"file://{root}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        if context.applicationId not in _local_roots:
+            folder = tempfile.mkdtemp(prefix="spark-arborix-")
+            atexit.register(shutil.rmtree, folder, True)
+            _local_roots[context.applicationId] = f"file://{folder}"
+        root = _local_roots[context.applicationId]
     return f"{root.rstrip('/')}/arborix-{uuid.uuid4().hex}"
 
 
@@ -33,16 +47,29 @@ def materialize(df: DataFrame, *, partition_by: list[str] | None = None) -> Data
     path = scratch_dir(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> None:
-    """Lets this session hand Python workers at most ``rows`` rows and about ``size`` at once.
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Lets this session hand Python workers at most ``rows`` rows and about ``size`` bytes at once; a lower setting stays.
 
-    The default of 10,000 rows is made for narrow rows; with whole texts it decides how much memory a worker holds.
+    The default of 10,000 rows is made for narrow rows; with whole texts it decides how much memory a worker holds. The
+    setting is read when a plan runs, which is after an operator has returned, so it cannot be taken back here.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < now <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`materialize` gave, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_fold(column: str | Column, modulus: int) -> Column:
@@ -159,55 +186,108 @@ def map_sorted_groups(
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *(order or [])).mapInPandas(walk, schema)
 
 
+# ---------------------------------------------------------------- joins that one hot key does not stop
+
+#: Parts into which all rows of a join are dealt at least, if one key holds most of them.
+PIECES = 1024
+
+
+def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, *, sizes: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """``rows`` with the columns of their group (one row for each ``key``, with the number of its rows in ``size``), by an inner join.
+
+    A group with over 1/PIECES of all rows is dealt into pieces of about that size: its row is repeated for each of
+    them, and its rows pick one by a hash of the columns ``by`` (all). There are fewer than PIECES such groups whatever the input, so the list of
+    them is broadcast. ``rows`` and ``groups`` must share no other column names. ``sizes`` is a stored table with
+    the keys and sizes of all groups, ``groups`` itself if not given.
+    """
+    sizes = groups if sizes is None else sizes
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    piece = max(1, -(-total // PIECES))
+    pieces = F.ceil(F.col(size) / piece).cast("int")
+    hot = F.broadcast(sizes.where(F.col(size) > piece).select(F.col(key).alias("_hot"), pieces.alias("_pieces")))
+    own = F.coalesce(F.pmod(F.xxhash64(*(by or rows.columns)), F.col("_pieces")).cast("int"), F.lit(0))
+    dealt = rows.join(hot, rows[key] == hot["_hot"], "left").withColumn("_piece", own).drop("_hot", "_pieces")
+    repeated = groups.withColumn("_piece", F.explode(F.when(F.col(size) > piece, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.lit(0)))))
+    return dealt.join(repeated, [key, "_piece"]).drop("_piece")
+
+
 # ---------------------------------------------------------------- counting Bloom filter
 
 HASHES = 3
+#: Bits in a segment, which all slots of a hash lie in, and segments in a stored file.
 SEGMENT_BITS = 1 << 18
+FILE_SEGMENTS = 128
 
 
 class Bloom:
-    """Bits of a Bloom filter, at most ``max_bits`` of them, and a Column that says if a hash may be in it."""
+    """Bits of a Bloom filter, and a Column that says if a hash may be in it.
 
-    def __init__(self, spark: SparkSession, bits: np.ndarray, mask: int):
-        self.shared, self.mask = spark.sparkContext.broadcast(bits), mask
+    ``shared`` holds the bits themselves where they are few, else the names of the files that hold them, which workers
+    map into memory: what is broadcast is bounded, while the filter grows with the rows.
+    """
+
+    def __init__(self, spark: SparkSession, segments: int, bits: np.ndarray | None, files: dict[int, str]):
+        self.shared, self.segments = spark.sparkContext.broadcast((bits, files)), segments
 
     def may_hold(self, hashed: Column) -> Column:
-        shared, mask = self.shared, self.mask
+        shared, segments = self.shared, self.segments
 
         @F.pandas_udf(T.BooleanType())
         def probe(h: pd.Series) -> pd.Series:
-            bits, found = shared.value, np.ones(len(h), dtype=bool)
-            for at in slots(h.to_numpy().view(np.uint64), mask):
-                found &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            bits, files = shared.value
+            h = h.to_numpy().view(np.uint64)
+            segment, at = segment_of(h, segments), slots(h)
+            if bits is not None:
+                return pd.Series(_all_set(bits, segment * (SEGMENT_BITS // 8), at))
+            found, file = np.zeros(len(h), dtype=bool), segment // FILE_SEGMENTS
+            for f in np.unique(file):
+                if f in files:
+                    own = np.flatnonzero(file == f)
+                    found[own] = _all_set(open_array(files[f]), segment[own] % FILE_SEGMENTS * (SEGMENT_BITS // 8), [x[own] for x in at])
             return pd.Series(found)
 
         return probe(hashed)
 
 
-def slots(h: np.ndarray, mask: int) -> list[np.ndarray]:
-    step = mix64(h ^ np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-    return [(h + np.uint64(i) * step) & np.uint64(mask) for i in range(HASHES)]
+def _all_set(bits: np.ndarray, base: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    found = np.ones(len(base), dtype=bool)
+    for x in at:
+        found &= (bits[base + (x >> 3)] >> (x & 7).astype(np.uint8)) & 1 == 1
+    return found
+
 
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of a hash, by its upper half."""
+    return ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
-def bloom(hashed: DataFrame, *, at_least: int = 1, max_bits: int = 1 << 28, bits_per_row: int = 16) -> Bloom:
+
+def slots(h: np.ndarray) -> list[np.ndarray]:
+    """The slots of a hash in its segment, by a second hash of it."""
+    own = mix64(h ^ np.uint64(0xD6E8FEB86659FD93))
+    bits = np.uint64(SEGMENT_BITS.bit_length() - 1)
+    return [((own >> (np.uint64(i) * bits)) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64) for i in range(HASHES)]
+
+
+def bloom(hashed: DataFrame, *, at_least: int = 1, broadcast_bits: int = 1 << 28, bits_per_row: int = 16) -> Bloom:
     """The filter of a DataFrame with one long column of hashes (no nulls).
 
     With ``at_least=2`` it holds what may occur twice: each slot has a counter that stops at two, and only slots that
-    reached it stay. The filter has ``bits_per_row`` bits a row and never more than ``max_bits`` (32 MB by default),
-    which bounds both the broadcast and what the driver gets; beyond that only the rate of false positives rises.
+    reached it stay. The filter has ``bits_per_row`` bits a row at any size, so the share of false positives does not
+    grow with the rows. Up to ``broadcast_bits`` (32 MB by default) the driver gets it and broadcasts it; a larger one
+    stays in files of the shared folder.
     """
     spark, name = hashed.sparkSession, hashed.columns[0]
-    rows = hashed.count()
-    size = SEGMENT_BITS
-    while size < min(max_bits, bits_per_row * rows):
-        size *= 2
-    mask = size - 1
+    segments = max(1, -(-bits_per_row * hashed.count() // SEGMENT_BITS))
+    stored = segments * SEGMENT_BITS > broadcast_bits
+    folder = f"{scratch_dir(spark)}/bloom" if stored else ""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[np.ndarray] = []
         pending = 0
         for frame in frames:
-            parts += slots(frame[name].to_numpy().view(np.uint64), mask)
+            h = frame[name].to_numpy().view(np.uint64)
+            base = segment_of(h, segments) * SEGMENT_BITS
+            parts += [base + at for at in slots(h)]
             pending += len(frame)
             if pending > 1 << 20:
                 yield summed(parts)
@@ -217,21 +297,37 @@ def bloom(hashed: DataFrame, *, at_least: int = 1, max_bits: int = 1 << 28, bits
 
     def summed(parts: list[np.ndarray]) -> pd.DataFrame:
         at, n = np.unique(np.concatenate(parts), return_counts=True)
-        segment = (at // np.uint64(SEGMENT_BITS)).astype(np.int64)
+        segment = at // SEGMENT_BITS
         cuts = np.flatnonzero(np.diff(segment)) + 1
-        within = (at % np.uint64(SEGMENT_BITS)).astype(np.uint32) << np.uint32(1) | (n > 1)
-        return pd.DataFrame({"segment": segment[np.concatenate(([0], cuts))], "packed": [x.astype("<u4").tobytes() for x in np.split(within, cuts)]})
+        within = (at % SEGMENT_BITS).astype(np.uint32) << np.uint32(1) | (n > 1)
+        own = segment[np.concatenate(([0], cuts))]
+        return pd.DataFrame({"segment": own, "packed": [x.astype("<u4").tobytes() for x in np.split(within, cuts)]})
 
-    def merged(group: dict[str, np.ndarray]) -> pd.DataFrame:
+    def merged(group: dict[str, np.ndarray]) -> np.ndarray:
         n = np.zeros(SEGMENT_BITS, dtype=np.uint8)
         for packed in group["packed"]:
             x = np.frombuffer(packed, dtype="<u4")
             at = x >> np.uint32(1)
             n[at] = np.minimum(n[at] + 1 + (x & 1).astype(np.uint8), 2)
-        return pd.DataFrame({"segment": group["segment"][:1], "bits": [np.packbits(n >= at_least, bitorder="little").tobytes()]})
+        return np.packbits(n >= at_least, bitorder="little")
+
+    def one(group: dict[str, np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"segment": group["segment"][:1], "bits": [merged(group).tobytes()]})
+
+    def together(group: dict[str, np.ndarray]) -> pd.DataFrame:
+        whole = np.zeros(FILE_SEGMENTS * SEGMENT_BITS // 8, dtype=np.uint8)
+        for segment, bits in zip(group["segment"], group["bits"], strict=True):
+            at = segment % FILE_SEGMENTS * (SEGMENT_BITS // 8)
+            whole[at : at + SEGMENT_BITS // 8] = np.frombuffer(bits, dtype=np.uint8)
+        file = int(group["segment"][0]) // FILE_SEGMENTS
+        return pd.DataFrame([(file, write_array(folder, f"bits-{file}", whole))], columns=["file", "uri"])
 
     counted = hashed.mapInPandas(count, "segment long, packed binary")
-    bits = np.zeros(size // 8, dtype=np.uint8)
-    for row in map_sorted_groups(counted, ["segment"], merged, "segment long, bits binary").collect():
+    made = map_sorted_groups(counted, ["segment"], one, "segment long, bits binary")
+    if stored:
+        filed = map_sorted_groups(made.withColumn("file", F.expr(f"segment div {FILE_SEGMENTS}")), ["file"], together, "file long, uri string")
+        return Bloom(spark, segments, None, {r["file"]: r["uri"] for r in filed.collect()})
+    bits = np.zeros(segments * SEGMENT_BITS // 8, dtype=np.uint8)
+    for row in made.collect():
         bits[row.segment * SEGMENT_BITS // 8 : (row.segment + 1) * SEGMENT_BITS // 8] = np.frombuffer(row.bits, dtype=np.uint8)
-    return Bloom(spark, bits, mask)
+    return Bloom(spark, segments, bits, {})

@@ -155,6 +155,7 @@ def language_id(docs: DataFrame, *, folds: int = 3, held_out: int = 1) -> DataFr
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents: doc_id, held_out, lang_pred, score."""
     return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

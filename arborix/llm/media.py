@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborix.llm.arrays import read_range, write_bytes
-from arborix.llm.common import bloom, materialize, scratch_dir, small_batches
+from arborix.llm.common import bloom, join_to_groups, materialize, scratch_dir, small_batches
 
 #: Samples in a row of the image; payloads are padded with spaces to a positive multiple.
 WIDTH = 192
@@ -81,7 +81,7 @@ def payloads(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def store(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes each distinct payload once; a catalogue (payload_sha256, shard, offset, length).
+    """Writes each distinct payload once; a catalogue (payload_sha256, shard, offset, length, rows), ``rows`` being how often the payload occurs.
 
     A counting Bloom filter tells which digests may repeat. Payloads of all other rows go from their task straight into
     its shard; the rest meet by digest first. Shards have new names, so a task that runs again leaves whole files.
@@ -89,12 +89,12 @@ def store(rows: DataFrame, folder: str) -> DataFrame:
     hashed = F.xxhash64("payload_sha256")
     repeats = bloom(rows.select(hashed.alias("h")), at_least=2)
     flagged = rows.select("payload_sha256", "payload", repeats.may_hold(hashed).alias("maybe"))
-    once = flagged.where("maybe").groupBy("payload_sha256").agg(F.any_value("payload").alias("payload"))
+    once = flagged.where("maybe").groupBy("payload_sha256").agg(F.any_value("payload").alias("payload"), F.count(F.lit(1)).alias("rows"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buffer, tar, placed, name = None, None, [], ""
         for frame in frames:
-            for digest, payload in zip(frame["payload_sha256"], frame["payload"], strict=True):
+            for digest, payload, n in zip(frame["payload_sha256"], frame["payload"], frame["rows"], strict=True):
                 if tar is None:
                     buffer, placed, name = io.BytesIO(), [], f"{folder}/shard-{uuid.uuid4().hex}.tar"
                     tar = tarfile.open(fileobj=buffer, mode="w", format=tarfile.USTAR_FORMAT)
@@ -102,7 +102,7 @@ def store(rows: DataFrame, folder: str) -> DataFrame:
                 info = tarfile.TarInfo(f"{digest}.png")
                 info.size = len(data)
                 tar.addfile(info, io.BytesIO(data))
-                placed.append((digest, name, buffer.tell() - -(-len(data) // 512) * 512, len(data)))
+                placed.append((digest, name, buffer.tell() - -(-len(data) // 512) * 512, len(data), n))
                 if buffer.tell() >= SHARD:
                     yield close(buffer, tar, placed, name)
                     tar = None
@@ -112,32 +112,44 @@ def store(rows: DataFrame, folder: str) -> DataFrame:
     def close(buffer: io.BytesIO, tar: tarfile.TarFile, placed: list, name: str) -> pd.DataFrame:
         tar.close()
         write_bytes(name, buffer.getvalue())
-        return pd.DataFrame(placed, columns=["payload_sha256", "shard", "offset", "length"])
+        return pd.DataFrame(placed, columns=["payload_sha256", "shard", "offset", "length", "rows"])
 
-    schema = "payload_sha256 string, shard string, offset long, length long"
-    alone = flagged.where("not maybe").select("payload_sha256", "payload").mapInPandas(write, schema)
+    schema = "payload_sha256 string, shard string, offset long, length long, rows long"
+    alone = flagged.where("not maybe").select("payload_sha256", "payload", F.lit(1).cast("long").alias("rows")).mapInPandas(write, schema)
     return materialize(alone.unionByName(once.mapInPandas(write, schema)))
 
 
+def metadata(catalogue: DataFrame) -> DataFrame:
+    """The catalogue with width, height and bits of each file, by reads of HEADER bytes; nothing else of a shard is read."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [header(read_range(shard, offset, HEADER)) for shard, offset in zip(frame["shard"], frame["offset"], strict=True)]
+            yield frame.assign(**{c: pd.Series([x[i] for x in found], index=frame.index, dtype="int32") for i, c in enumerate(("width", "height", "bits"))})
+
+    schema = "payload_sha256 string, shard string, offset long, length long, rows long, width int, height int, bits int"
+    return catalogue.select("payload_sha256", "shard", "offset", "length", "rows").mapInPandas(read, schema)
+
+
 def read_back(catalogue: DataFrame) -> DataFrame:
-    """The catalogue with what its shards hold: metadata from a ranged read of each header, digests and features of the whole."""
+    """The catalogue with digests, lengths and features of what its shards hold, each file read whole and checked against its digest."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for digest, shard, offset, length in frame.sort_values(["shard", "offset"])[["payload_sha256", "shard", "offset", "length"]].itertuples(index=False):
-                width, height, bits = header(read_range(shard, offset, HEADER))
+            for digest, shard, offset, length in zip(*(frame[c] for c in ("payload_sha256", "shard", "offset", "length")), strict=True):
                 data = read_range(shard, offset, length)
                 payload = decode(data)
-                found = hashlib.sha256(payload).hexdigest()
-                if found != digest:
+                if hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"{shard} does not hold {digest} at {offset}")
-                rows.append((found, shard, offset, len(payload), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload), width, height, bits))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                rows.append((len(payload), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
+            made = pd.DataFrame(rows, columns=["payload_bytes", "tail_crc32", "media_bytes", "media_sha256", "feature"], index=frame.index)
+            yield pd.concat([frame[kept], made], axis=1)
 
-    schema = "payload_sha256 string, shard string, offset long, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, bits int"
-    n = int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return catalogue.repartition(n, F.col("shard"), F.expr(f"offset div {STRIPE}")).mapInPandas(read, schema)
+    kept = [c for c in catalogue.columns if c != "length"]
+    types = dict(catalogue.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return catalogue.mapInPandas(read, schema)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -149,10 +161,14 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = payloads(docs)
-    stored = read_back(store(rows, f"{scratch_dir(docs.sparkSession)}/media"))
-    return rows.select("doc_id", "n_bytes", "payload_sha256").join(stored, "payload_sha256")
+    catalogue = store(rows, f"{scratch_dir(docs.sparkSession)}/media")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    striped = catalogue.repartition(n, F.col("shard"), F.expr(f"offset div {STRIPE}")).sortWithinPartitions("shard", "offset")
+    stored = read_back(metadata(striped))
+    return join_to_groups(rows.select("doc_id", "n_bytes", "payload_sha256"), stored, "payload_sha256", "rows", sizes=catalogue).drop("rows")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of all documents, stored and read back: digests, lengths, features and header fields."""
     found = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")

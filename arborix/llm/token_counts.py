@@ -135,4 +135,5 @@ def token_counts(docs: DataFrame, *, vocabulary_file: str = VOCABULARY) -> DataF
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents: doc_id, n_tokens, n_bytes."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
