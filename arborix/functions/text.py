@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def numeric_value(answer: Column) -> Column:
-    """The first number in an answer, times its scale word, rounded to cents; a number in brackets alone is negative; else null."""
+    """The first number in an answer, times its scale word, rounded to cents (halves to even); a number in brackets is negative; else null."""
     low = F.lower(answer)
     scale = F.when(low.rlike(r"\b(billion|bn)\b"), 1e9).when(low.rlike(r"\b(million|mm|mil)\b"), 1e6).when(low.rlike(r"\b(thousand|k)\b"), 1e3).otherwise(1.0)
     plain = F.regexp_replace(answer, r"(?<=\d),(?=\d)", "")
-    bracketed = F.regexp_extract(plain, r"\(\s*([\d.]+)\s*\)", 1)
+    bracketed = F.regexp_extract(plain, r"\(\s*([\d,.]+)\s*\)", 1)
     text = F.when(bracketed != "", F.concat(F.lit("-"), bracketed)).otherwise(plain)
     number = F.replace(F.regexp_extract(text, r"-?[\d,.]+\.?\d*", 0), F.lit(","), F.lit(""))
-    return F.round(number.try_cast("double") * scale, 2)
+    return F.bround(number.try_cast("double") * scale, 2)
 
 
 def lenient_object(answer: Column, schema: str) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborix.operators.groups import walked
+
 SIZE, STEP = 4000, 3800
 
 
@@ -26,24 +29,23 @@ def chunk_id(path: Column, title: Column, index: Column, content: Column) -> Col
 def token_chunks(pages: DataFrame, *, limit: int, overlap: int = 1) -> DataFrame:
     """Runs of pages whose tokens add up to ``limit`` at most, each beginning with the last ``overlap`` pages of the one before.
 
-    Chunks of one document depend on those before, so each document's page counts (not texts) meet in one task.
+    Chunks of one document depend on those before, so its page counts (not texts) stream through one task in order; only
+    the open run is held.
     """
 
-    def cut(key: tuple, pages: pd.DataFrame) -> pd.DataFrame:
-        pages = pages.sort_values("page_no")
-        runs: list[list[int]] = [[]]
-        total = 0
-        sizes = dict(zip(pages["page_no"], pages["token_count"], strict=True))
-        for page, n in sizes.items():
-            if runs[-1] and total + n > limit:
-                runs.append(runs[-1][-overlap:] if overlap else [])
-                total = sum(sizes[p] for p in runs[-1])
-            runs[-1].append(page)
-            total += n
-        return pd.DataFrame([(key[0], i, r[0], r[-1], sum(sizes[p] for p in r)) for i, r in enumerate(runs) if r], columns=["doc_pk", "chunk_no", "page_start", "page_end", "token_count"])
+    def cut(doc: int, pages: Iterator[tuple]) -> Iterator[tuple]:
+        run: list[tuple[int, int]] = []
+        number = 0
+        for _, page, n in pages:
+            if run and sum(k for _, k in run) + n > limit:
+                yield doc, number, run[0][0], run[-1][0], sum(k for _, k in run)
+                run, number = run[-overlap:] if overlap else [], number + 1
+            run.append((page, n))
+        if run:
+            yield doc, number, run[0][0], run[-1][0], sum(k for _, k in run)
 
     schema = "doc_pk long, chunk_no long, page_start long, page_end long, token_count long"
-    return pages.select("doc_pk", "page_no", "token_count").groupBy("doc_pk").applyInPandas(cut, schema)
+    return walked(pages.select("doc_pk", "page_no", "token_count"), "doc_pk", ["page_no"], cut, schema)
 
 
 def search_documents(chunks: DataFrame) -> DataFrame:

@@ -31,24 +31,33 @@ def padded(number: Column) -> Column:
     return F.lpad(text, F.greatest(F.lit(4), F.length(text)), F.lit("0"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """Adds path: nine digits for a node and for each one above it, in depth-first order within a document.
+def paths(nodes: DataFrame, step: Column | None = None, separator: str = ".") -> DataFrame:
+    """Adds path: ``step`` (by default nine digits) of a node after that of each one above it; by default in depth-first order within a document.
 
     ``nodes`` has doc_pk, ord, structure and parent_ord. A parent's structure is one part shorter than its child's, so
     paths grow by one equi-join for each part of the longest structure; only their number comes to the driver.
     """
-    step = F.lpad((F.col("ord") + 1).cast("string"), 9, "0")
+    step = F.lpad((F.col("ord") + 1).cast("string"), 9, "0") if step is None else step
     parts = F.size(F.split("structure", r"\."))
     depth = nodes.agg(F.max(parts)).first()[0] or 0
     level = nodes.where(parts == 1).withColumn("path", step)
     done = level
     for n in range(2, depth + 1):
         above = level.select("doc_pk", F.col("ord").alias("parent_ord"), F.col("path").alias("_above"))
-        level = nodes.where(parts == n).join(above, ["doc_pk", "parent_ord"], "left").withColumn("path", F.concat_ws(".", "_above", step)).drop("_above")
+        level = nodes.where(parts == n).join(above, ["doc_pk", "parent_ord"], "left").withColumn("path", F.concat_ws(separator, "_above", step)).drop("_above")
         done = done.unionByName(level)
     return done
 
 
+def path_ids(nodes: DataFrame) -> DataFrame:
+    """Adds node_id: the id of the node above and, in four digits at least, the node's place among those with the same one above, from 0.
+
+    ``nodes`` as for :func:`paths`. A window holds the children of one node (or the roots of one document).
+    """
+    place = F.row_number().over(Window.partitionBy("doc_pk", "parent_ord").orderBy("ord")) - 1
+    return paths(nodes.withColumn("_place", place), padded(F.col("_place")), "").withColumnRenamed("path", "node_id").drop("_place")
+
+
 def depth_first(nodes: DataFrame) -> DataFrame:
     """Adds node_id and parent_id, four digits at least, counting each document's nodes depth first from 0; ``nodes`` as for :func:`paths`."""
     number = F.row_number().over(Window.partitionBy("doc_pk").orderBy("path")) - 1

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborix.operators import forest
+from arborix.sources.tables import use_shared_folder
 
 
 def headings(html: Column) -> Column:
@@ -186,7 +186,6 @@ def divided(nodes: DataFrame, pages: DataFrame, found: DataFrame, *, pages_above
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """The rows with their lineage cut, in the shared checkpoint folder; a folder of this machine's only where none is set."""
-    if not rows.sparkSession.conf.get("spark.checkpoint.dir", None):
-        rows.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-arborix-"))
+    """The rows with their lineage cut, in the shared checkpoint folder."""
+    use_shared_folder(rows.sparkSession)
     return rows.checkpoint()

@@ -17,12 +17,16 @@ Factory = Callable[[], Callable[[list[str]], list]]
 
 @dataclass(frozen=True)
 class Retry:
-    """Attempts at a batch, and the wait between them: doubled from ``first`` up to ``most`` seconds, with some jitter."""
+    """Attempts at a batch, and the wait between them: doubled from ``first`` up to ``most`` seconds, with some jitter.
+
+    Errors of the caller (``never``) are not tried again.
+    """
 
     attempts: int = 3
     first: float = 1.0
     most: float = 8.0
     jitter: float = 0.25
+    never: tuple[type[Exception], ...] = (TypeError, AttributeError, NameError, LookupError, NotImplementedError)
 
     def call(self, ask: Callable[[list[str]], list], questions: list[str]) -> list:
         for attempt in range(1, self.attempts + 1):
@@ -31,8 +35,8 @@ class Retry:
                 if len(answers) != len(questions):
                     raise ValueError(f"{len(answers)} answers to {len(questions)} questions")
                 return answers
-            except Exception:
-                if attempt == self.attempts:
+            except Exception as error:
+                if attempt == self.attempts or isinstance(error, self.never):
                     raise
                 time.sleep(min(self.most, self.first * 2 ** (attempt - 1)) + random.uniform(0, self.jitter))
         raise ValueError("a batch needs at least one attempt")
@@ -60,6 +64,27 @@ def answered(text: Column, factory: Factory, *, size: int = 16, retry: Retry = R
     return _asked(text, factory, "string", size, retry, lambda answers: None)
 
 
+def metered(text: Column, factory: Factory, *, size: int = 16, retry: Retry = Retry()) -> Column:
+    """The answers of a model that tells what they took: a struct of answer, prompt_tokens and completion_tokens.
+
+    The client gives (answer, prompt tokens, completion tokens). Sums over the rows of a run are its account, so runs
+    that go on at the same time do not mix.
+    """
+
+    def ask(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        client = factory()
+        for part in parts:
+            rows: list[tuple] = [(None, 0, 0)] * len(part)
+            at = [i for i, t in enumerate(part) if isinstance(t, str)]
+            for k in range(0, len(at), size):
+                run = at[k : k + size]
+                for i, answer in zip(run, retry.call(client, [part.iloc[i] for i in run]), strict=True):
+                    rows[i] = tuple(answer)
+            yield pd.DataFrame(rows, columns=["answer", "prompt_tokens", "completion_tokens"])
+
+    return F.pandas_udf(ask, "answer string, prompt_tokens long, completion_tokens long").asNondeterministic()(text)
+
+
 def embedded(text: Column, factory: Factory, *, dimension: int, size: int = 16, retry: Retry = Retry()) -> Column:
     """The embeddings of texts; a vector without ``dimension`` numbers is an error."""
 

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from arborix.operators.groups import walked
+from arborix.operators.models import Factory, Retry, answered
 
 EXPLORATION, PRIOR_VISITS = 1.414, 3
 
@@ -30,6 +36,7 @@ class Forest:
         nodes = nodes.sort_values(["child_order", "node_pk"], ignore_index=True)
         self.pk, self.start = nodes["node_pk"].tolist(), nodes["start_index"].tolist()
         self.prior, self.score = ([_unit(x) for x in nodes[c]] for c in ("prior", "score"))
+        self.text = nodes["text"].fillna("").tolist() if "text" in nodes else []
         index = {k: i for i, k in enumerate(self.pk)}
         self.parent = [None if pd.isna(p) else index.get(int(p), -1) for p in nodes["parent_pk"]]
         self.kids: dict[int | None, list[int]] = defaultdict(list)
@@ -73,8 +80,8 @@ class Forest:
             if not self.kids.get(at):
                 return at
 
-    def run(self, iterations: int, workers: int, top: int) -> list[tuple]:
-        """Best leaves as (node_pk, value, visits, rank, leaves seen)."""
+    def run(self, iterations: int, workers: int, top: int, scorer: Callable[[list[str]], list[float]] | None = None) -> list[tuple]:
+        """Best leaves as (node_pk, value, visits, rank, leaves seen). A ``scorer`` gets the texts of each batch, of no other leaves."""
         seen: set[int] = set()
         done = 0
         while done < iterations:
@@ -84,6 +91,12 @@ class Forest:
                 batch.append(leaf)
             if not batch:
                 break
+            if scorer is not None:
+                given = list(scorer([self.text[leaf] for leaf in batch]))
+                if len(given) != len(batch):
+                    raise ValueError(f"{len(given)} scores for {len(batch)} leaves")
+                for leaf, score in zip(batch, given, strict=True):
+                    self.score[leaf] = _unit(score)
             for leaf in batch:
                 self.reserve(leaf, -1)
                 for i in self.line(leaf):
@@ -96,22 +109,106 @@ class Forest:
         return [(self.pk[i], round(mean[i], 4), self.visits[i], r, len(seen)) for r, i in enumerate(best, 1)]
 
 
-def searched(nodes: DataFrame, *, iterations: int, workers: int, top: int) -> DataFrame:
+NODE = ["doc_pk", "node_pk", "parent_pk", "child_order", "start_index", "prior", "score"]
+
+
+def searched(nodes: DataFrame, *, iterations: int, workers: int, top: int, scorer: Callable[[], Callable[[list[str]], list[float]]] | None = None) -> DataFrame:
     """Per document: its best leaves, rows (doc_pk, leaf_pk, value, visits, rank, leaves_seen), after ``iterations`` evaluations.
 
     ``nodes`` has doc_pk, node_pk, parent_pk (null: a root), child_order, start_index, prior (counts among siblings) and
     score (counts at leaves). From the roots the search goes to the child with the highest bound that still has a leaf
     which is not in the batch; up to ``workers`` leaves are taken so, then their scores are added along their paths.
+    With a ``scorer`` (made once in each task) ``nodes`` has text instead of score, and the scorer is asked for the
+    leaves of a batch when the search has chosen them, so the budget is one of evaluations.
     Nodes whose parent is missing are not reached, and a document without a root has no rows. Each step depends on those
     before it, so one document is searched in one task; a document has hundreds of nodes, and there are many documents.
     """
 
     if min(iterations, workers, top) < 1:
         raise ValueError("a search needs at least one evaluation, one worker and one leaf to return")
+    columns = NODE if scorer is None else [*NODE[:-1], "text"]
+    made: list[Callable[[list[str]], list[float]]] = []
+
+    def walk(doc: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+        if scorer is not None and not made:
+            made.append(scorer())
+        frame = pd.DataFrame(list(rows), columns=columns)
+        if scorer is not None:
+            frame["score"] = 0.0
+        for found in Forest(frame).run(iterations, workers, top, made[0] if made else None):
+            yield doc, *found
 
-    def walk(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], *r) for r in Forest(part).run(iterations, workers, top)]
-        return pd.DataFrame(rows, columns=["doc_pk", "leaf_pk", "value", "visits", "rank", "leaves_seen"])
+    return walked(nodes.select(*columns), "doc_pk", ["child_order", "node_pk"], walk, "doc_pk long, leaf_pk long, value double, visits long, rank long, leaves_seen long")
 
-    columns = nodes.select("doc_pk", "node_pk", "parent_pk", "child_order", "start_index", "prior", "score")
-    return columns.groupBy("doc_pk").applyInPandas(walk, "doc_pk long, leaf_pk long, value double, visits long, rank long, leaves_seen long")
+
+def seeded(nodes: DataFrame) -> DataFrame:
+    """Adds visits and value_sum as they are when a node's parent has been entered: PRIOR_VISITS visits of its prior, brought into 0 to 1.
+
+    The only root of a document has nothing to be chosen from and counts as one of prior 1.
+    """
+    siblings = Window.partitionBy("doc_pk", "parent_pk")
+    prior = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl("prior", F.lit(0.0)), F.lit(0.0))))
+    alone = F.col("parent_pk").isNull() & (F.count(F.lit(1)).over(siblings) == 1)
+    return nodes.withColumns({"visits": F.lit(PRIOR_VISITS).cast("long"), "value_sum": PRIOR_VISITS * F.when(alone, 1.0).otherwise(prior)})
+
+
+def backpropagated(nodes: DataFrame, evaluated: DataFrame, *, depth: int = 32) -> DataFrame:
+    """(doc_pk, node_pk, visits, value_sum): what evaluations (doc_pk, node_pk, score) add to their nodes and to all above.
+
+    Evaluations of one node are summed first; then each row takes its line of nodes up to the root, grown by one equi-join
+    a level, and the sums of all lines meet once.
+    """
+    parents = nodes.select("doc_pk", F.col("node_pk").alias("_at"), F.col("parent_pk").alias("_above"))
+    rows = evaluated.groupBy("doc_pk", F.col("node_pk").alias("_at")).agg(F.count(F.lit(1)).alias("visits"), F.sum(F.col("score").cast("decimal(28, 10)")).alias("value_sum"))
+    rows = rows.withColumn("line", F.array("_at"))
+    for _ in range(depth - 1):
+        above = F.when(F.col("_above").isNull(), F.col("line")).otherwise(F.array_append("line", F.col("_above")))
+        rows = rows.join(parents, ["doc_pk", "_at"], "left").withColumn("line", above).drop("_at").withColumnRenamed("_above", "_at")
+    added = rows.select("doc_pk", F.explode("line").alias("node_pk"), "visits", "value_sum")
+    return added.groupBy("doc_pk", "node_pk").agg(F.sum("visits").alias("visits"), F.sum("value_sum").cast("double").alias("value_sum"))
+
+
+def lexical_score(question: str, text: Column) -> Column:
+    """The share of the question's words that a text has, without a model: words are runs of letters and digits, case apart."""
+    words = sorted({w.lower() for w in re.findall(r"\w+", question)})
+    if not words:
+        return F.lit(0.0)
+    have = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.size(F.array_intersect(F.array_distinct(have), F.array(*map(F.lit, words)))) / F.lit(float(len(words)))
+
+
+def sources(found: DataFrame, nodes: DataFrame, *, depth: int = 32) -> DataFrame:
+    """What an answer cites, for each row of :func:`searched`: doc_pk, rank, source (node_pk, title, pages, score, visits, path), summary, text.
+
+    ``nodes`` has doc_pk, node_pk, parent_pk, title, start_index, end_index, summary and text. ``pages`` is start-end,
+    ``path`` the titles from the root to the leaf; a leaf with a blank text gives its summary instead. Paths grow by one
+    equi-join a level, for the few leaves that were found.
+    """
+    own = nodes.select("doc_pk", F.col("node_pk").alias("leaf_pk"), "title", "start_index", "end_index", "summary", "text", F.col("parent_pk").alias("_above"))
+    met = found.join(own, ["doc_pk", "leaf_pk"]).withColumn("path", F.array("title"))
+    parent = nodes.select("doc_pk", F.col("node_pk").alias("_above"), F.col("title").alias("_title"), F.col("parent_pk").alias("_next"))
+    for _ in range(depth - 1):
+        up = met.join(parent, ["doc_pk", "_above"], "left")
+        path = F.when(F.col("_title").isNotNull(), F.concat(F.array("_title"), "path")).otherwise(F.col("path"))
+        met = up.withColumn("path", path).drop("_above", "_title").withColumnRenamed("_next", "_above")
+    pages = F.concat_ws("-", F.col("start_index").cast("string"), F.col("end_index").cast("string"))
+    source = F.struct(F.col("leaf_pk").alias("node_pk"), "title", pages.alias("pages"), F.round("value", 4).alias("score"), "visits", "path")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    return met.select("doc_pk", "rank", source.alias("source"), F.coalesce("summary", F.lit("")).alias("summary"), F.when(text != "", text).otherwise(F.coalesce("summary", F.lit(""))).alias("text"))
+
+
+def synthesized(question: Column, cited: DataFrame, factory: Factory | None = None, *, retry: Retry = Retry()) -> DataFrame:
+    """One answer for each document: doc_pk, answer, sources (best first), from rows of :func:`sources`.
+
+    A model made by ``factory`` gets the question and the path, pages, summary and text of every source; an empty answer
+    is an error. Without one the answer is the first two sentences of the best source that has text.
+    """
+    section = F.concat(F.lit("\n\n"), F.array_join("source.path", " > "), F.lit(", pp. "), "source.pages", F.lit("\n"), "summary", F.lit("\n"), "text")
+    listed = cited.withColumn("section", section).groupBy("doc_pk").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "section", "text"))).alias("s"))
+    if factory is None:
+        full = F.filter("s.text", lambda t: t != "")
+        answer = F.regexp_extract(F.coalesce(F.try_element_at(full, F.lit(1)), F.lit("")), r"(?s)^\s*([^.]*\.?(?:[^.]*\.)?)", 1)
+        return listed.select("doc_pk", answer.alias("answer"), F.col("s.source").alias("sources"))
+    reply = listed.select("doc_pk", "s", answered(F.concat(question, F.array_join("s.section", "")), factory, retry=retry).alias("reply"))
+    text = F.regexp_replace(F.coalesce("reply", F.lit("")), r"(?U)^\s+|\s+$", "")
+    return reply.select("doc_pk", F.when(text != "", text).otherwise(F.raise_error(F.lit("an answer is empty")).cast("string")).alias("answer"), F.col("s.source").alias("sources"))

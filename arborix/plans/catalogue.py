@@ -77,6 +77,7 @@ class Metric:
     shown: bool
     formula: str = ""
     parts: tuple[tuple[str, int], ...] = ()
+    synonyms: tuple[str, ...] = ()
 
 
 def _read() -> dict[str, Metric]:

@@ -63,7 +63,13 @@ def chunk_ids(spark, folder):
     return made.select("doc_id", "chunk_index", chunks.chunk_id(F.col("source"), F.col("doc_id"), F.col("chunk_index"), F.col("content")).alias("id"))
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE p AS (SELECT conv_id AS doc_pk, turn + 1 AS page_no, len(regexp_extract_all(coalesce(text, ''), '[^ ]+')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+ walk AS (SELECT doc_pk, k, 0 AS chunk_no, page_no AS page_start, page_no AS page_end, n AS total, n AS last FROM p WHERE k = 1
+ UNION ALL SELECT w.doc_pk, p.k, CASE WHEN total + n > 120 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN total + n > 120 THEN w.page_end ELSE page_start END, p.page_no,
+  CASE WHEN total + n > 120 THEN last + n ELSE total + n END, n FROM walk w JOIN p ON w.doc_pk = p.doc_pk AND p.k = w.k + 1)
+ SELECT doc_pk, cast(chunk_no AS bigint) AS chunk_no, min(page_start) AS page_start, max(page_end) AS page_end, cast(max(total) AS bigint) AS token_count FROM walk GROUP BY doc_pk, chunk_no"""
+)
 def token_chunks(spark, folder):
     """Runs of pages with at most 120 tokens, the last page of one repeated as the first of the next."""
     return chunks.token_chunks(conversation_pages(spark, folder), limit=120)
@@ -124,7 +130,7 @@ def numeric_extract(spark, folder):
     return run(spark, folder, f"SELECT * FROM {_ANSWER} q").select("event_id", numeric_value(F.col("answer")).alias("value"))
 
 
-@query(None)
+@query("SELECT event_id, value, event_type AS kind FROM events")
 def lenient_json(spark, folder):
     """Answers with fences, trailing commas and None, read as JSON where they can be."""
     from arborix.functions.text import lenient_object

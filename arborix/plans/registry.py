@@ -178,3 +178,4 @@ def spread_requests(spark, folder):
 
 
 from arborix.plans import documents, ingest, trees  # noqa: E402,F401  they register theirs
+from arborix.plans import applied  # noqa: E402,F401

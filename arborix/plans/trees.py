@@ -193,7 +193,7 @@ def mcts_search(spark, folder):
     return search.searched(run(spark, folder, _TREE), iterations=10, workers=3, top=3)
 
 
-@query(None)
+@query(r"SELECT conv_id AS doc_pk, turn + 1 AS page_no, regexp_extract(text, '(?s)^\s*([^.]*\.?(?:[^.]*\.)?)', 1) AS summary FROM conversations WHERE trim(coalesce(text, '')) <> ''")
 def summaries(spark, folder):
     """The first two sentences of each page, as the offline summary."""
     pages = run(spark, folder, "SELECT doc_pk, page_no, text FROM {PAGES} p WHERE trim(text) <> ''")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +18,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Unset, a local master gets a temporary one; on a cluster that is an error,
+    as executors would write to disks that nobody else sees."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="spark-arborix-")
+    atexit.register(shutil.rmtree, folder, True)
+    return f"file://{folder}"
+
+
+def use_shared_folder(spark: SparkSession) -> None:
+    """Lets checkpoints of this session go to :func:`shared_folder`."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 _ITEMS = ["Share Premium Account", "Retained Earnings", "Revaluation Reserves", "Other Reserves", "Capital Redemption Reserve", "Treasury Stock"]
 _DEBTS = {"Overdrafts": "1-URGENT", "Trade Finance": "2-HIGH", "Loans < 1 year - Secured": "3-MEDIUM", "Loans < 1 year - Unsecured": "4-NOT SPECIFIED", "Current Portion - HP/Leasing/Other": "5-LOW"}
 #: What each looked-up figure is, as SQL over a joined order line; p is its price, d and x price times discount and tax.

@@ -15,15 +15,39 @@ def schema(depth: int) -> str:
     return f"doc_name string, pdf_name string, structure array<{inner}>, records array<{inner}>"
 
 
-def nodes(docs: DataFrame, key: str, raw: str, *, depth: int = 6) -> DataFrame:
+def judged(docs: DataFrame, raw: str, *, depth: int = 6) -> DataFrame:
+    """``docs`` with a column ``tree_status``: ok, malformed (no tree of this kind), nameless, or deeper than ``depth``.
+
+    With ``strict=False`` :func:`nodes` takes the rows that are ``ok``; the others can be looked at here, so one bad row stops nothing.
+    """
+    return _judged(docs, raw, depth).drop("_tree")
+
+
+def _judged(docs: DataFrame, raw: str, depth: int) -> DataFrame:
+    wanted = f"{schema(depth + 1)}, _corrupt string"
+    tree = F.from_json(raw, wanted, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = docs.withColumn("_tree", tree)
+    inner = F.coalesce("_tree.structure", "_tree.records")
+    for _ in range(depth - 1):
+        inner = F.flatten(F.transform(inner, lambda n: F.coalesce(n["nodes"], F.array())))
+    deep = F.exists(inner, lambda n: F.size(F.coalesce(n["nodes"], F.array())) > 0)
+    broken = F.col("_tree").isNull() | F.col("_tree._corrupt").isNotNull()
+    status = F.when(broken, "malformed").when(F.coalesce("_tree.doc_name", "_tree.pdf_name").isNull(), "nameless").when(deep, "deeper").otherwise("ok")
+    return parsed.withColumn("tree_status", status)
+
+
+def nodes(docs: DataFrame, key: str, raw: str, *, depth: int = 6, strict: bool = True) -> DataFrame:
     """One row for each node: key, path, parent_path, depth, child_order, title, start_index, end_index.
 
     Paths are four digits a level, so their order is depth first. Text that is no tree of this kind, has no name or
-    nests deeper than ``depth`` fails the job, as half a document would be worse than none. Levels are unnested one by
+    nests deeper than ``depth`` fails the job, as half a document would be worse than none; if not ``strict`` it gives no rows. Levels are unnested one by
     one; there is no shuffle.
     """
-    tree = F.from_json(raw, schema(depth + 1), {"mode": "FAILFAST"})
-    parsed = docs.select(F.col(key), tree.alias("t")).select(
+    if strict:
+        found = docs.select(F.col(key), F.from_json(raw, schema(depth + 1), {"mode": "FAILFAST"}).alias("t"))
+    else:
+        found = _judged(docs, raw, depth).where("tree_status = 'ok'").select(F.col(key), F.col("_tree").alias("t"))
+    parsed = found.select(
         key, F.coalesce("t.doc_name", "t.pdf_name").alias("_name"), F.coalesce("t.structure", "t.records").alias("_kids"), F.lit(None).cast("string").alias("path")
     )
     parsed = parsed.where(F.col("_name").isNotNull() | F.raise_error(F.lit("a document tree needs doc_name or pdf_name")).isNotNull())

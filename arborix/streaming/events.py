@@ -9,17 +9,39 @@ from pyspark.sql.streaming import StreamingQuery
 from arborix.operators.statements import long, resolved, statement, with_yearly_change
 
 
+_DETAILS = "array<struct<component_name: string, value: double, source_location: string>>"
+
+
 def events(changes: DataFrame) -> DataFrame:
     """Rows (company, seq, event_type, payload) from a statement table with yearly changes.
 
     Per company: its metrics by year, section and row, then the changes of its last year, then one ``complete``.
-    Payloads keep nulls. A company has a few hundred events, so one window orders them.
+    Payloads keep nulls. Formula, components and the place of the first component come from a statement with
+    ``details`` and are null without; ``row_index`` is there only where ``changes`` has one. A change names its year
+    ``<year>_YoY``, is unresolved without a value, and lists both years' values. A company has a few hundred events, so
+    one window orders them.
     """
-    metric = F.struct("canonical_name", F.col("year_period").alias("year"), "value", "status", F.when(F.col("status") == "unresolved", "not found").alias("error"))
-    change = F.struct("canonical_name", F.col("year_period").alias("year"), F.col("yoy_pct").alias("value"))
+    given = {c: F.col(c) if c in changes.columns else F.lit(None).cast(t) for c, t in (("formula_used", "string"), ("component_details", _DETAILS), ("row_index", "long"))}
+    keep = {"ignoreNullFields": "false"}
+    parts = given["component_details"]
+    fields = [
+        F.col("canonical_name"), F.col("year_period").alias("year"), F.col("value"), F.col("status"), given["formula_used"].alias("formula"), F.when(F.col("status") == "unresolved", "not found").alias("error"),
+        F.nullif(F.try_element_at(parts, F.lit(1))["source_location"], F.lit("")).alias("source_location"), parts.alias("component_details"),
+    ]
+    metric = F.to_json(F.struct(*fields), keep)
+    if "row_index" in changes.columns:
+        metric = F.when(F.col("row_index").isNull(), metric).otherwise(F.to_json(F.struct(*fields, "row_index"), keep))
+    values = F.array(*[F.struct(F.concat(F.col(y), F.lit(" value")).alias("component_name"), F.col(v).alias("value")) for y, v in (("year_period", "value"), ("prev_year", "prev_value"))])
+    change = F.to_json(
+        F.struct(
+            F.col("canonical_name"), F.concat("year_period", F.lit("_YoY")).alias("year"), F.col("yoy_pct").alias("value"), F.when(F.col("yoy_pct").isNull(), "unresolved").otherwise("resolved").alias("status"),
+            F.format_string("(%s - %s) / |%s| * 100", "year_period", "prev_year", "prev_year").alias("formula"), values.alias("component_details"),
+        ),
+        keep,
+    )
 
     def event(phase: int, kind: str, payload: Column) -> Column:
-        return F.struct(F.lit(phase).alias("phase"), F.lit(kind).alias("event_type"), F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
+        return F.struct(F.lit(phase).alias("phase"), F.lit(kind).alias("event_type"), payload.alias("payload"))
 
     both = F.array(event(0, "metric", metric), F.when(F.col("is_last") & (F.col("year_rank") > 1), event(1, "yoy", change)))
     made = changes.select("company", F.col("year_period").alias("a"), F.col("section_rank").alias("b"), F.col("row_rank").alias("c"), F.inline(F.array_compact(both)))
@@ -47,7 +69,7 @@ def spread(requests: DataFrame, trees: DataFrame, values: DataFrame) -> DataFram
     """
     checked = verified(requests, trees)
     usable = checked.where("tree_status <> 'error'").select("company", "year_period")
-    known = events(with_yearly_change(statement(values.join(usable, ["company", "year_period"], "left_semi"))))
+    known = events(with_yearly_change(statement(values.join(usable, ["company", "year_period"], "left_semi"), details=True)))
     payload = F.to_json(F.struct(F.col("year_period").alias("year"), F.col("tree_status").alias("status")))
     tree = checked.select("company", F.lit(0).alias("phase"), F.col("year_period").alias("at"), F.lit("tree_verification").alias("event_type"), payload.alias("payload"))
     failed = checked.where("tree_status = 'error'").select("company", F.lit(1).alias("phase"), F.col("year_period").alias("at"), F.lit("year_error").alias("event_type"), payload.alias("payload"))

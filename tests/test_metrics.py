@@ -78,7 +78,45 @@ def test_events_keep_nulls_and_end_with_complete(spark):
     from arborix.streaming.events import events
 
     rows = [("a", "2021", "Revenue", 10.0), ("a", "2022", "Revenue", 15.0)]
-    made = events(st.with_yearly_change(st.statement(st.resolved(facts(spark, rows)), ["Revenue", "Free cashflow"]))).orderBy("seq").collect()
+    made = events(st.with_yearly_change(st.statement(st.resolved(facts(spark, rows)), ["Revenue", "Free cashflow"], details=True))).orderBy("seq").collect()
     assert [r["event_type"] for r in made] == ["metric"] * 4 + ["yoy"] * 2 + ["complete"]
-    assert json.loads(made[0]["payload"]) == {"canonical_name": "Revenue", "year": "2021", "value": 10.0, "status": "resolved", "error": None}
-    assert json.loads(made[4]["payload"])["value"] == 50.0 and json.loads(made[-1]["payload"]) == {"event_count": 4}
+    assert json.loads(made[0]["payload"]) == {"canonical_name": "Revenue", "year": "2021", "value": 10.0, "status": "resolved", "formula": None, "error": None, "source_location": None, "component_details": None}
+    change = json.loads(made[4]["payload"])
+    assert (change["year"], change["value"], change["status"], change["formula"]) == ("2022_YoY", 50.0, "resolved", "(2022 - 2021) / |2021| * 100")
+    assert change["component_details"] == [{"component_name": "2022 value", "value": 15.0}, {"component_name": "2021 value", "value": 10.0}]
+    assert (json.loads(made[5]["payload"])["value"], json.loads(made[5]["payload"])["status"]) == (None, "unresolved")
+    assert json.loads(made[-1]["payload"]) == {"event_count": 4}
+
+
+def test_payloads_of_derived_metrics_list_their_components(spark):
+    import json
+
+    from arborix.streaming.events import events
+
+    rows = [("a", "2021", "Revenue", 10.0), ("a", "2021", "Cost of Sales", 4.0)]
+    table = st.with_yearly_change(st.statement(st.resolved(facts(spark, rows)), ["Revenue", "Gross Profit"], details=True))
+    indexed = table.withColumn("row_index", F.when(F.col("canonical_name") == "Gross Profit", F.lit(7)))
+    found = {p["canonical_name"]: p for p in (json.loads(r["payload"]) for r in events(indexed).where("event_type = 'metric'").collect())}
+    profit = found["Gross Profit"]
+    assert (profit["value"], profit["formula"], profit["source_location"], profit["row_index"]) == (6.0, "Revenue - Cost of Sales", "a 2021", 7)
+    assert profit["component_details"] == [{"component_name": n, "value": v, "source_location": "a 2021"} for n, v in (("Revenue", 10.0), ("Cost of Sales", 4.0))]
+    assert "row_index" not in found["Revenue"] and found["Revenue"]["component_details"] is None
+
+
+def test_names_are_looked_up_in_two_steps(spark):
+    from arborix.functions import names
+    from arborix.sources.catalogue import aliases, from_definitions
+
+    raw = {
+        "metrics": [{"canonical_name": "Net Worth", "synonyms": ["Book Value", "Own Funds / Equity"]}, {"canonical_name": "TFD / EBITDA"}, {"canonical_name": "Late", "synonyms": ["book value"]}],
+        "aggregations": {"Equity": {"synonyms": ["Total Equity"], "components": [{"metric": "x"}]}},
+        "alias_map": {"Sales": "Revenue"},
+    }
+    known = names.known_names(spark, from_definitions(raw))
+    asked = ["  NET worth (loss)", "Own funds/Equity", "TFD/ EBITDA (x)", "Net Worth (restated)", "book value", "total equity", "nothing", "(x)", None]
+    items = spark.createDataFrame([(i, n, 10 * i) for i, n in enumerate(asked)], "position int, name string, row_index int")
+    got = {r["position"]: r["canonical"] for r in names.looked_up(items, known).collect()}
+    assert [got[i] for i in range(9)] == ["Net Worth", "Net Worth", "TFD / EBITDA", "Net Worth", "Late", "Equity", None, None, None]
+    rows = {r["canonical_key"]: r["row_index"] for r in names.row_indices(items, known).collect()}
+    assert (rows["net worth"], rows["late"], rows["nothing"], rows["book value"]) == (0, 40, 60, 40)
+    assert aliases(raw) == {"Sales": "Revenue"} and aliases({}) == {}
