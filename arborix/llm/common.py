@@ -147,15 +147,16 @@ def batches(texts: list[str | None], limit: int = BATCH_BYTES) -> Iterator[tuple
 
 
 def map_sorted_groups(
-    df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]], pd.DataFrame | None], schema: str, order: list[str] | None = None
+    df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]], pd.DataFrame | None], schema: str, order: list[str] | None = None, *, parts: int | None = None
 ) -> DataFrame:
     """``fn`` on each group of equal ``keys`` as a dict of column arrays.
 
     The rows are dealt out by key and sorted, and each task walks through its groups; only one group, whose size the
-    caller bounds, is held at a time. Cheaper than applyInPandas where groups are many and small.
+    caller bounds, is held at a time. Cheaper than applyInPandas where groups are many and small. Where groups are few
+    and large, and the first key numbers them from 0 to ``parts``, each number gets a task of its own.
     """
     names = df.columns
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = df.repartitionById(parts, keys[0]) if parts else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: dict[str, np.ndarray] | None = None
@@ -183,7 +184,7 @@ def map_sorted_groups(
             if made is not None and len(made):
                 yield made
 
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *(order or [])).mapInPandas(walk, schema)
+    return dealt.sortWithinPartitions(*keys, *(order or [])).mapInPandas(walk, schema)
 
 
 # ---------------------------------------------------------------- joins that one hot key does not stop

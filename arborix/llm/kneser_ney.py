@@ -20,11 +20,11 @@ END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens that a task gathers before it sorts and hands on counts.
 GATHER = 1 << 22
 #: Tokens for each file of the model, and the number of files at least; a file is merged by one task.
-FILE_TOKENS, FILES = 1 << 21, 16
+FILE_TOKENS, FILES = 1 << 20, 8
 #: Bytes of text that a token takes, as the size of the input is known before its tokens are.
 TOKEN_BYTES = 6
 #: Distinct words in a stretch of ids.
-STRETCH = 1 << 18
+STRETCH = 1 << 15
 BATCH = 1 << 21
 
 
@@ -70,7 +70,7 @@ def split_rows(part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pd.Dat
     """A row for each run of equal ``part``, with packed keys and counts."""
     cuts = np.flatnonzero(np.diff(part)) + 1
     return pd.DataFrame(
-        {"part": part[np.concatenate(([0], cuts))].astype(np.int64), "keys": [planes(x) for x in np.split(keys, cuts)], "counts": [small(x) for x in np.split(counts, cuts)]}
+        {"part": part[np.concatenate(([0], cuts))].astype(np.int32), "keys": [planes(x) for x in np.split(keys, cuts)], "counts": [small(x) for x in np.split(counts, cuts)]}
     )
 
 
@@ -186,7 +186,7 @@ def train(texts: DataFrame, *, files: int | None = None) -> Model:
     folder = scratch_dir(spark)
     files = files or max(FILES, (texts.agg(F.sum(F.octet_length("text") + TOKEN_BYTES)).first()[0] or 0) // (TOKEN_BYTES * FILE_TOKENS))
     bits = max(1, int(np.ceil(np.log2(files))))
-    packed = "part long, keys binary, counts binary"
+    packed = "part int, keys binary, counts binary"
 
     def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from gathered(frames, lambda run: tokens(run)[0], lambda keys: (keys >> np.uint64(64 - bits)).astype(np.int64))
@@ -219,7 +219,7 @@ def train(texts: DataFrame, *, files: int | None = None) -> Model:
         return pd.DataFrame([(p, write_array(folder, f"words-{p}", keys), write_array(folder, f"counts-{p}", counts), len(keys), int(counts.sum()))])
 
     texts = texts.select("text")
-    found = map_sorted_groups(texts.mapInPandas(count_words, packed), ["part"], merge_words, "part int, keys string, counts string, n long, tokens long").collect()
+    found = map_sorted_groups(texts.mapInPandas(count_words, packed), ["part"], merge_words, "part int, keys string, counts string, n long, tokens long", parts=1 << bits).collect()
     model = Model(word_bits=bits, spread=files, words=[(0, "", "")] * (1 << bits))
     for row in sorted(found, key=lambda r: r["part"]):
         model.words[row["part"]] = (model.n_words, row["keys"], row["counts"])
@@ -274,7 +274,7 @@ def train(texts: DataFrame, *, files: int | None = None) -> Model:
         return pd.DataFrame([(kind, s, write_array(folder, f"{'contexts' if kind == 1 else 'continuations'}-{s}", dense), None, histogram, 0)])
 
     partial = map_sorted_groups(
-        texts.mapInPandas(count_pairs, packed), ["part"], merge_pairs, "kind int, part int, keys string, counts string, histogram array<long>, n long, ids binary, sums binary"
+        texts.mapInPandas(count_pairs, packed), ["part"], merge_pairs, "kind int, part int, keys string, counts string, histogram array<long>, n long, ids binary, sums binary", parts=files
     )
     sizes, spreads = np.zeros(4, dtype=np.int64), np.zeros(6, dtype=np.int64)
     for row in map_sorted_groups(partial, ["kind", "part"], add_up, "kind int, part int, keys string, counts string, histogram array<long>, n long").collect():
