@@ -230,24 +230,32 @@ class Bloom:
     def __init__(self, spark: SparkSession, segments: int, bits: np.ndarray | None, files: dict[int, str]):
         self.shared, self.segments = spark.sparkContext.broadcast((bits, files)), segments
 
-    def may_hold(self, hashed: Column) -> Column:
+    def prober(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from hashes to whether they may be held, for use inside tasks."""
         shared, segments = self.shared, self.segments
 
-        @F.pandas_udf(T.BooleanType())
-        def probe(h: pd.Series) -> pd.Series:
+        def probe(h: np.ndarray) -> np.ndarray:
             bits, files = shared.value
-            h = h.to_numpy().view(np.uint64)
             segment, at = segment_of(h, segments), slots(h)
             if bits is not None:
-                return pd.Series(_all_set(bits, segment * (SEGMENT_BITS // 8), at))
+                return _all_set(bits, segment * (SEGMENT_BITS // 8), at)
             found, file = np.zeros(len(h), dtype=bool), segment // FILE_SEGMENTS
             for f in np.unique(file):
                 if f in files:
                     own = np.flatnonzero(file == f)
                     found[own] = _all_set(open_array(files[f]), segment[own] % FILE_SEGMENTS * (SEGMENT_BITS // 8), [x[own] for x in at])
-            return pd.Series(found)
+            return found
+
+        return probe
+
+    def may_hold(self, hashed: Column) -> Column:
+        probe = self.prober()
+
+        @F.pandas_udf(T.BooleanType())
+        def held(h: pd.Series) -> pd.Series:
+            return pd.Series(probe(h.to_numpy().view(np.uint64)))
 
-        return probe(hashed)
+        return held(hashed)
 
 
 def _all_set(bits: np.ndarray, base: np.ndarray, at: list[np.ndarray]) -> np.ndarray:

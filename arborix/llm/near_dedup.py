@@ -334,11 +334,12 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> D
         judged = confirmed(pairs, pool, percent)
         tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
         links.append(judged.where("linked").select("a", "b"))
+    discard(pool, members)
     return reduce(DataFrame.unionByName, links)
 
 
 def similar_classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, digest) of all documents, and classes (digest, rows, comp, component_id, several), both stored tables.
+    """Rows (doc_id, n, digest, path, sketch) of all documents, and classes (digest, rows, comp, component_id, several), both stored tables.
 
     A class holds the rows with one shingle set. ``comp`` numbers its component, ``component_id`` is the smallest doc_id
     in it, ``several`` says whether the component has more rows than one.
@@ -358,7 +359,9 @@ def similar_classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFr
     whole = reps.select("rep", "digest", "doc_id", "rows").join(named, "rep", "left").select(
         "digest", "rows", F.coalesce("comp", "rep").alias("comp"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("comp").isNotNull() | (F.col("rows") > 1)).alias("several")
     )
-    return signed.select("doc_id", "n", "digest"), materialize(whole)
+    classes = materialize(whole)
+    discard(reps, linked, names)
+    return signed, classes
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -400,18 +403,21 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80
     several = materialize(classes.where("several").select("digest", "comp"))
     known = bloom(several.select(F.xxhash64("digest").alias("h")))
     held = bloom(rows.where("n > 0").where(known.may_hold(F.xxhash64("digest"))).select(F.xxhash64("doc_id").alias("h")))
+    discard(rows, classes)
+    probe = held.prober()
 
     @F.pandas_udf("binary")
-    def digest(text: pd.Series) -> pd.Series:
-        out: list[bytes | None] = []
-        for _, run in batches(text.tolist()):
+    def digest(h: pd.Series, text: pd.Series) -> pd.Series:
+        """The digest of a text whose id is held, else null; one pass, so that a task has one Python worker only."""
+        out = np.full(len(h), None, dtype=object)
+        at = np.flatnonzero(probe(h.to_numpy().view(np.uint64)))
+        for begun, run in batches(text.iloc[at].tolist()):
             with np.errstate(over="ignore"):
-                out += _digests(shingle_sets(run, shingle))
+                out[at[begun : begun + len(run)]] = pd.Series(_digests(shingle_sets(run, shingle)), dtype=object).to_numpy()
         return pd.Series(out, dtype=object)
 
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), held.may_hold(F.xxhash64("doc_id")).alias("maybe"))
-    unsure = marked.where("maybe").select("row", digest("row.text").alias("digest"))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), digest(F.xxhash64("doc_id"), "text").alias("digest"))
     first = F.min_by("row", F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row"))).alias("row")
-    met = unsure.where("digest is not null").groupBy("digest").agg(first).join(several, "digest", "left")
-    stay = [marked.where("not maybe"), unsure.where("digest is null"), met.where("comp is null"), met.where("comp is not null").groupBy("comp").agg(first)]
+    met = marked.where("digest is not null").groupBy("digest").agg(first).join(several, "digest", "left")
+    stay = [marked.where("digest is null"), met.where("comp is null"), met.where("comp is not null").groupBy("comp").agg(first)]
     return reduce(DataFrame.unionByName, [x.select("row.*") for x in stay])
