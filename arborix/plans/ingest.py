@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborix.operators import ingest
+from arborix.operators import contents, ingest
 from arborix.plans.portable import expand, run
 from arborix.plans.registry import query
 from arborix.sources import trees
@@ -15,7 +15,16 @@ def _other(text: str) -> str:
     return expand(text).replace("{conversations}", "conversations")
 
 
-@query(None)
+@query(
+    r"""WITH RECURSIVE cut AS (SELECT page_id AS doc_pk, regexp_extract_all(coalesce(html, ''), '(?is)<h[1-6][^>]*>.*?</h[1-6]\s*>') AS marks FROM pages),
+h AS (SELECT doc_pk, unnest(range(len(marks))) AS ord, unnest(marks) AS mark FROM cut),
+t AS (SELECT doc_pk, ord, cast(substring(mark, 3, 1) AS int) AS level, trim(regexp_replace(regexp_replace(mark, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM h),
+linked AS (SELECT c.doc_pk, c.ord, c.title, max(p.ord) AS above FROM t c LEFT JOIN t p ON c.doc_pk = p.doc_pk AND p.ord < c.ord AND p.level < c.level GROUP BY c.doc_pk, c.ord, c.title),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_pk, above ORDER BY ord) AS k FROM linked),
+walk AS (SELECT doc_pk, ord, cast(k AS text) AS structure, title FROM placed WHERE above IS NULL
+ UNION ALL SELECT p.doc_pk, p.ord, w.structure || '.' || cast(p.k AS text), p.title FROM placed p JOIN walk w ON p.doc_pk = w.doc_pk AND p.above = w.ord)
+SELECT doc_pk, cast(ord AS int) AS ord, structure, title FROM walk"""
+)
 def toc_generate(spark, folder):
     """Contents tables out of the headings of marked-up pages."""
     return ingest.generated_toc(table(spark, folder, "pages"), "page_id", "html")
@@ -60,3 +69,50 @@ def json_tree_scan(spark, folder):
     root = F.struct(F.lit("order").alias("title"), F.lit(1).alias("start_index"), F.col("pages").alias("end_index"), F.col("k.kid").alias("nodes"))
     text = F.to_json(F.struct(F.col("doc_name"), F.array(root).alias("structure")))
     return trees.nodes(docs.select("doc_pk", text.alias("raw_json")), "doc_pk", "raw_json", depth=2)
+
+
+_FOUND_SQL = """p AS (SELECT doc_pk, page_no, text, role = 'user' AS yes FROM {PAGES} x WHERE page_no <= 20),
+ends AS (SELECT n.doc_pk, min(n.page_no) AS stop FROM p n WHERE NOT yes AND EXISTS (SELECT 1 FROM p y WHERE y.doc_pk = n.doc_pk AND y.yes AND y.page_no < n.page_no) GROUP BY n.doc_pk),
+content AS (SELECT p.doc_pk, count(*) AS pages, regexp_replace(regexp_replace(string_agg(text, '' ORDER BY page_no), '\\.{5,}', ': ', 'g'), '(?:\\. ){5,}\\.?', ': ', 'g') AS content
+ FROM p LEFT JOIN ends e ON p.doc_pk = e.doc_pk WHERE yes AND (stop IS NULL OR page_no < stop) GROUP BY p.doc_pk)"""
+
+
+def _printed(spark, folder):
+    """Contents pages by a detector's answers: the user's turns are some; of the rest every fifth cannot be read."""
+    pages = run(spark, folder, "SELECT doc_pk, page_no, text, role FROM {PAGES} p")
+    answer = F.when(F.col("role") == "user", '{"toc_detected": "yes"}').when(F.col("page_no") % 5 == 0, "cannot tell").otherwise('{"toc_detected": "no",}')
+    return contents.contents_pages(pages.withColumn("toc_detected", contents.said(answer, "toc_detected")))
+
+
+@query(_other(f"WITH {_FOUND_SQL} SELECT doc_pk, pages, content FROM content"))
+def toc_extracted(spark, folder):
+    """The contents pages of conversations by a detector's answers, and their text; an answer that cannot be read is a no."""
+    found = _printed(spark, folder)
+    return contents.contents_text(found).join(found.groupBy("doc_pk").agg(F.count(F.lit(1)).alias("pages")), "doc_pk")
+
+
+#: Characters of a contents text that one answer of the offline transcriber turns into an entry.
+_STRETCH = 240
+
+
+def _next_entry(content, so_far):
+    """The offline transcriber: the next stretch of the text as an entry, the object opened before the first and closed after the last."""
+    made = F.size(F.split(so_far, '"structure"')) - 1
+    last = (made + 1) * _STRETCH >= F.length(content)
+    entry = F.to_json(F.struct((made + 1).cast("string").alias("structure"), F.substr(content, made * _STRETCH + 1, F.lit(_STRETCH)).alias("title"), (made + 2).cast("string").alias("page")))
+    text = F.concat(F.when(made == 0, '{"table_of_contents": [').otherwise(", "), entry, F.when(last, "]}").otherwise(""))
+    return F.struct(text.alias("answer"), F.lit(True).alias("finished"))
+
+
+def _whole(content, so_far):
+    return F.when(F.endswith(so_far, F.lit("]}")), '{"completed": "yes"}').otherwise('{"completed": "no"}')
+
+
+@query(
+    _other(f"""WITH {_FOUND_SQL}, cut AS (SELECT doc_pk, content, greatest(1, cast(ceil(length(content) / {_STRETCH}.0) AS int)) AS n FROM content),
+e AS (SELECT doc_pk, content, unnest(range(n)) AS ord FROM cut WHERE n <= 6)
+SELECT doc_pk, cast(ord AS int) AS ord, cast(ord + 1 AS text) AS structure, substring(content, ord * {_STRETCH} + 1, {_STRETCH}) AS title, cast(ord + 2 AS int) AS page FROM e""")
+)
+def toc_transcribed(spark, folder):
+    """Contents texts turned into entries answer by answer, five continuations at most; what is still cut off after that gives none."""
+    return contents.transcribed(contents.contents_text(_printed(spark, folder)), _next_entry, _whole)
