@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from arborix.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from arborix.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from arborix.llm.kneser_ney import op5_lm_scoring
 from arborix.llm.language import op4_language_id
 from arborix.llm.media import op2_media_columns
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
 }
-SQL = {"op6_exact_dedup": OP6_SQL}
+SQL = {"op6_exact_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL}
