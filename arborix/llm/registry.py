@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from arborix.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from arborix.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from arborix.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from arborix.llm.kneser_ney import op5_lm_scoring
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-SQL = {"op6_exact_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL}
+SQL = {"op6_exact_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op12_conversation_repair": OP12_SQL}
