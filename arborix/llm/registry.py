@@ -12,6 +12,7 @@ from arborix.llm.mixing import op8_mixing
 from arborix.llm.near_dedup import op7_near_dedup
 from arborix.llm.packing import op3_packing
 from arborix.llm.quality import op10_quality
+from arborix.llm.secrets import op13_secrets
 from arborix.llm.token_counts import op9_token_counts
 from arborix.llm.toxicity import op1_toxicity
 
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_secrets": op13_secrets,
 }
 SQL = {"op6_exact_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op12_conversation_repair": OP12_SQL}
