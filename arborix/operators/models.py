@@ -64,6 +64,33 @@ def answered(text: Column, factory: Factory, *, size: int = 16, retry: Retry = R
     return _asked(text, factory, "string", size, retry, lambda answers: None)
 
 
+def tried(question: Callable[[Column, Column], Column], factory: Factory, *, size: int = 16, retry: Retry = Retry()) -> Callable[[Column, Column], Column]:
+    """A reply for :func:`figures`: asks a model ``question(question, text)`` and gives a struct (answer, error).
+
+    A batch that fails to the last attempt is asked one by one, so only questions that fail by themselves have an error.
+    """
+
+    def ask(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        client = factory()
+
+        def told(run: list[str]) -> list[tuple]:
+            try:
+                return [(a, None) for a in retry.call(client, run)]
+            except Exception as error:
+                return [(None, f"{type(error).__name__}: {error}")] if len(run) == 1 else [x for one in run for x in told([one])]
+
+        for part in parts:
+            rows: list[tuple] = [(None, None)] * len(part)
+            at = [i for i, t in enumerate(part) if isinstance(t, str)]
+            for k in range(0, len(at), size):
+                for i, answer in zip(at[k : k + size], told([part.iloc[i] for i in at[k : k + size]]), strict=True):
+                    rows[i] = answer
+            yield pd.DataFrame(rows, columns=["answer", "error"])
+
+    asked = F.pandas_udf(ask, "answer string, error string").asNondeterministic()
+    return lambda q, text: asked(question(q, text))
+
+
 def metered(text: Column, factory: Factory, *, size: int = 16, retry: Retry = Retry()) -> Column:
     """The answers of a model that tells what they took: a struct of answer, prompt_tokens and completion_tokens.
 

@@ -79,8 +79,8 @@ def subtree_sizes(spark, folder):
     """Nodes and leaves below every node, itself included, whatever the depth of its forest."""
     nodes = run(spark, folder, "SELECT root_pk AS doc_pk, node_pk, parent_pk FROM {NODES} n")
     leaf = nodes.join(nodes.select("doc_pk", F.col("parent_pk").alias("node_pk")).distinct(), ["doc_pk", "node_pk"], "left_anti").withColumn("score", F.lit(1.0))
-    all_nodes = search.backpropagated(nodes, nodes.withColumn("score", F.lit(1.0)), depth=4).select("doc_pk", "node_pk", F.col("visits").alias("nodes"))
-    leaves = search.backpropagated(nodes, leaf, depth=4).select("doc_pk", "node_pk", F.col("visits").alias("leaves"))
+    all_nodes = search.backpropagated(nodes, nodes.withColumn("score", F.lit(1.0))).select("doc_pk", "node_pk", F.col("visits").alias("nodes"))
+    leaves = search.backpropagated(nodes, leaf).select("doc_pk", "node_pk", F.col("visits").alias("leaves"))
     return all_nodes.join(leaves, ["doc_pk", "node_pk"], "left").select("node_pk", "nodes", F.coalesce("leaves", F.lit(0)).cast("long").alias("leaves"))
 
 
@@ -103,7 +103,7 @@ def search_sums(spark, folder):
     """Every leaf of the customers' forests evaluated once: what that adds to it and to all nodes above."""
     nodes = run(spark, folder, _TREE)
     leaves = nodes.join(nodes.select("doc_pk", F.col("parent_pk").alias("node_pk")).distinct(), ["doc_pk", "node_pk"], "left_anti")
-    return search.backpropagated(nodes, leaves, depth=3).select("doc_pk", "node_pk", "visits", F.round("value_sum", 6).alias("value_sum"))
+    return search.backpropagated(nodes, leaves).select("doc_pk", "node_pk", "visits", F.round("value_sum", 6).alias("value_sum"))
 
 
 _QUESTION = "the and der que net"
@@ -123,7 +123,7 @@ def search_sources(spark, folder):
     tree = run(spark, folder, _TREE).where("doc_pk is not null")
     found = search.searched(tree, iterations=10, workers=3, top=3)
     titled = tree.withColumns({"title": F.concat(F.lit("node "), F.abs("node_pk")), "end_index": F.col("start_index") + 1, "summary": F.concat(F.lit("Summary of "), F.abs("node_pk"), F.lit(".")), "text": F.lit("")})
-    return search.sources(found, titled, depth=3).select("doc_pk", "rank", "source.*", "text")
+    return search.sources(found, titled).select("doc_pk", "rank", "source.*", "text")
 
 
 # ------------------------------------------------------------------ names and payloads

@@ -27,10 +27,6 @@ portable(
     """SELECT doc_name, company, year_period FROM {REGISTRY} a WHERE NOT EXISTS (SELECT 1 FROM {REGISTRY} b WHERE b.doc_pk % 10 = 3 AND b.doc_name = a.doc_name)
  UNION ALL SELECT doc_name, 'replaced' AS company, year_period FROM {REGISTRY} c WHERE doc_pk % 10 = 3""",
 )
-portable(
-    "valid_years",
-    "SELECT company, year_period FROM (SELECT company, year_period, count(*) AS nodes FROM {REGISTRY} r GROUP BY company, year_period) x WHERE nodes > 0",
-)
 portable(
     "workflow_history",
     "SELECT user_id AS workflow_id, max(ts) AS created_at, count(*) AS event_count, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS purchases FROM {events} GROUP BY user_id",

@@ -8,9 +8,9 @@ from arborix.plans.catalogue import METRICS, SECTIONS, levels, needs
 from arborix.sources.tables import facts_sql
 
 
-def resolved_sql() -> str:
-    """CTEs up to ``resolved``: one row a company and year, columns v<i>, s<i>, m<i>."""
-    text, last = f"WITH l0 AS ({facts_sql()})", "l0"
+def resolved_sql(source: str | None = None) -> str:
+    """CTEs up to ``resolved``, from the tables' facts or from ``source``: one row a company and year, columns v<i>, s<i>, m<i>."""
+    text, last = f"WITH l0 AS ({source or facts_sql()})", "l0"
     for depth, level in enumerate(levels(), 1):
         columns = []
         for name in level:

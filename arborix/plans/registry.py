@@ -161,21 +161,5 @@ def sct_serialized(spark, folder):
     return stored.select("company", "year_period", "section", "canonical_name", "value", "status", "resolution_method", "formula_used", "error", F.size("component_details").alias("component_count"))
 
 
-@query(f"""{oracle.resolved_sql()}, asked AS (SELECT company, year_period FROM resolved UNION SELECT company, cast(cast(max(year_period) AS int) + 1 AS text) FROM resolved GROUP BY company),
- trees AS (SELECT company, year_period FROM resolved WHERE cast(year_period AS int) % 3 <> 0), shown AS (SELECT company, year_period FROM resolved SEMI JOIN trees USING (company, year_period)),
- n AS (SELECT company, count(*) AS years FROM shown GROUP BY company), e AS (
- SELECT company, event_type, count(*) AS events FROM (SELECT company, 'tree_verification' AS event_type FROM asked UNION ALL SELECT company, 'year_error' FROM asked ANTI JOIN trees USING (company, year_period)
- UNION ALL SELECT DISTINCT company, 'complete' FROM asked) GROUP BY company, event_type
- UNION ALL SELECT company, 'metric', years * {len(_SHOWN)} FROM n UNION ALL SELECT company, 'yoy', {len(_SHOWN)} FROM n WHERE years > 1)
- SELECT company, event_type, events FROM e""")
-def spread_requests(spark, folder):
-    """Spreads of all companies, one year too many asked and every third without a tree: how many events of each kind."""
-    values = st.resolved(facts(spark, folder))
-    keys = values.select("company", "year_period")
-    asked = keys.unionByName(keys.groupBy("company").agg((F.max("year_period").cast("int") + 1).cast("string").alias("year_period")))
-    trees = keys.where(F.col("year_period").cast("int") % 3 != 0).select("company", "year_period", F.lit(12).alias("nodes"), F.lit(4).alias("leaves"))
-    return spread(asked, trees, values).groupBy("company", "event_type").agg(F.count(F.lit(1)).alias("events"))
-
-
 from arborix.plans import documents, ingest, trees  # noqa: E402,F401  they register theirs
-from arborix.plans import applied  # noqa: E402,F401
+from arborix.plans import applied, figures  # noqa: E402,F401

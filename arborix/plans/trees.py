@@ -86,18 +86,10 @@ portable("forest_paths", "SELECT concat('o', cast(o_orderkey AS string)) AS node
 portable("forest_leaves", "SELECT n.node_pk, n.depth FROM {NODES} n WHERE NOT EXISTS (SELECT 1 FROM {NODES} c WHERE c.parent_pk = n.node_pk)")
 portable("leaves_with_text", "SELECT source AS parent_pk, doc_id AS leaf_pk, length(text) AS characters FROM {documents} WHERE trim(coalesce(text, '')) <> ''")
 portable("subtree_stats", "SELECT root_pk, count(*) AS nodes, max(depth) AS max_depth, sum(CASE WHEN depth = 3 THEN 1 ELSE 0 END) AS leaves FROM {NODES} n GROUP BY root_pk", "SELECT root_pk, count(*) AS nodes, max(depth) AS max_depth, cast(sum(CASE WHEN depth = 3 THEN 1 ELSE 0 END) AS bigint) AS leaves FROM {NODES} n GROUP BY root_pk")
-portable("forest_roundtrip", "SELECT count(*) AS orphans FROM {NODES} n WHERE parent_pk IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {NODES} p WHERE p.node_pk = n.parent_pk)")
 portable(
     "tree_verification",
     "SELECT root_pk, nodes, leaves, CASE WHEN nodes >= 10 AND leaves >= 3 THEN 'ok' ELSE 'degraded' END AS status FROM (SELECT root_pk, count(*) AS nodes, count(CASE WHEN depth = 3 THEN 1 END) AS leaves FROM {NODES} n GROUP BY root_pk) x",
 )
-portable(
-    "dfs_node_ids",
-    """SELECT o_orderkey, lpad(cast(row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS string), 4, '0') AS node_id, concat(lpad(cast(r_regionkey AS string), 4, '0'), '.', lpad(cast(n_nationkey AS string), 4, '0'), '.', lpad(cast(c_custkey AS string), 9, '0')) AS parent_path FROM {PATHS} p""",
-)
-portable("path_node_ids", "SELECT o_orderkey, concat(lpad(cast(r_regionkey AS string), 4, '0'), lpad(cast(n_nationkey AS string), 4, '0'), lpad(cast(c_custkey % 10000 AS string), 4, '0')) AS node_id FROM {PATHS} p")
-
-
 def _padded(number: str) -> str:
     return f"lpad(cast({number} AS string), greatest(4, length(cast({number} AS string))), '0')"
 
@@ -168,26 +160,54 @@ def leaf_answers(spark, folder):
 
 # ------------------------------------------------------------------ search
 _LEAVES = "(SELECT c_custkey, o_orderkey, n_nationkey, r_regionkey, round((o_orderkey % 97) / 97.0, 4) AS score FROM {PATHS} p)"
-portable("leaf_scores", f"SELECT o_orderkey, cast(least(1.0, greatest(0.0, score)) AS double) AS score FROM {_LEAVES} l")
-portable("mcts_seed", "SELECT c_custkey, 3 AS visit_count, cast(3 * round((c_custkey % 89) / 89.0, 4) AS double) AS value_sum FROM {customer}")
 _BACK = f"""(SELECT concat('r', cast(r_regionkey AS string)) AS node_pk, score FROM {_LEAVES} a UNION ALL SELECT concat('n', cast(n_nationkey AS string)), score FROM {_LEAVES} b
  UNION ALL SELECT concat('c', cast(c_custkey AS string)), score FROM {_LEAVES} c)"""
 _STATE = f"(SELECT node_pk, count(*) AS visit_count, cast(sum(cast(score AS decimal(18, 4))) AS double) AS value_sum FROM {_BACK} s GROUP BY node_pk)"
-portable("mcts_backprop", f"SELECT node_pk, visit_count, value_sum FROM {_STATE} t")
 _UCB = f"""(SELECT n.node_pk, n.parent_pk, n.child_order, v.visit_count, round(v.value_sum / v.visit_count + CASE WHEN n.parent_pk IS NULL THEN 0.0 ELSE 1.414 * sqrt(ln(p.visit_count) / v.visit_count) END, 6) AS ucb
  FROM {{NODES}} n JOIN {_STATE} v ON n.node_pk = v.node_pk LEFT JOIN {_STATE} p ON n.parent_pk = p.node_pk)"""
 portable("mcts_ucb", f"SELECT node_pk, visit_count, ucb FROM {_UCB} u")
 portable("mcts_select_child", f"SELECT parent_pk, node_pk, ucb FROM (SELECT *, row_number() OVER (PARTITION BY parent_pk ORDER BY ucb DESC, child_order, node_pk) AS k FROM {_UCB} u) x WHERE k = 1")
-portable("mcts_topk", f"SELECT r_regionkey, o_orderkey, cast(score AS double) AS score FROM (SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY score DESC, o_orderkey) AS k FROM {_LEAVES} l) x WHERE k <= 3")
-
-
 _TREE = """SELECT c_custkey AS doc_pk, -1 - c_custkey AS node_pk, cast(NULL AS bigint) AS parent_pk, 0 AS child_order, 1 AS start_index, 1.0D AS prior, 0.0D AS score FROM {customer}
  UNION ALL SELECT o_custkey, o_orderkey * 10, -1 - o_custkey, o_orderkey, 1, cast(o_totalprice / 500000 AS double), cast(o_totalprice / 500000 AS double) FROM {orders}
  UNION ALL SELECT o_custkey, l_orderkey * 10 + l_linenumber, l_orderkey * 10, l_linenumber, l_linenumber, cast(sum(l_quantity) / 50 AS double), cast(sum(l_extendedprice) / 105000 AS double)
    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_orderkey, l_linenumber"""
 
 
-@query(None)
+def search_sql(tree: str, levels: int, iterations: int, workers: int, top: int) -> str:
+    """The search written out batch by batch and level by level: the sums of all nodes after each batch are a table of their own.
+
+    A batch's picks come one after another from the best open child, so a node's share goes to its children in order.
+    """
+    parts = [
+        f"t AS MATERIALIZED ({tree})",
+        "up0 AS MATERIALIZED (SELECT doc_pk, node_pk AS leaf, node_pk, parent_pk FROM t WHERE node_pk NOT IN (SELECT parent_pk FROM t WHERE parent_pk IS NOT NULL))",
+        *(f"up{i} AS MATERIALIZED (SELECT t.doc_pk, u.leaf, t.node_pk, t.parent_pk FROM up{i - 1} u JOIN t ON t.doc_pk = u.doc_pk AND t.node_pk = u.parent_pk)" for i in range(1, levels)),
+        "up AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT doc_pk, leaf, node_pk FROM up{i}" for i in range(levels)) + ")",
+        """n AS MATERIALIZED (SELECT t.*, c.leaves, t.node_pk IN (SELECT leaf FROM up0) AS is_leaf, CASE WHEN t.parent_pk IS NULL AND r.roots = 1 THEN 1.0::DOUBLE ELSE least(1.0, greatest(0.0, coalesce(t.prior, 0)))::DOUBLE END AS p
+ FROM t JOIN (SELECT doc_pk, node_pk, count(*) AS leaves FROM up GROUP BY ALL) c USING (doc_pk, node_pk) JOIN (SELECT doc_pk, count(*) AS roots FROM t WHERE parent_pk IS NULL GROUP BY doc_pk) r USING (doc_pk))""",
+        "s0 AS MATERIALIZED (SELECT doc_pk, node_pk, 0::BIGINT AS k, 0::DECIMAL(28, 12) AS got FROM n)",
+        "done0 AS MATERIALIZED (SELECT DISTINCT doc_pk, 0::BIGINT AS done FROM n)",
+    ]
+    for b in range(1, iterations + 1):
+        last = f"(SELECT n.*, k + 3 AS visits, (3 * p + got::DOUBLE) / (k + 3) AS mean FROM n JOIN s{b - 1} USING (doc_pk, node_pk))"
+        parts.append(f"w{b} AS MATERIALIZED (SELECT * FROM {last})")
+        parts.append(f"f{b}_0 AS MATERIALIZED (SELECT doc_pk, NULL::BIGINT AS node_pk, NULL::BIGINT AS visits, least({workers}, {iterations} - done) AS share, false AS is_leaf FROM done{b - 1} WHERE done < {iterations})")
+        for i in range(1, levels + 1):
+            ranked = f"""SELECT w.doc_pk, w.node_pk, w.visits, w.is_leaf, f.share, w.leaves, coalesce(sum(w.leaves) OVER (PARTITION BY w.doc_pk, w.parent_pk
+ ORDER BY w.mean + CASE WHEN f.visits IS NULL THEN 0.0 ELSE 1.414 * sqrt(ln(f.visits) / w.visits) END DESC, w.child_order, w.node_pk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+ FROM f{b}_{i - 1} f JOIN w{b} w ON w.doc_pk = f.doc_pk AND w.parent_pk IS NOT DISTINCT FROM f.node_pk WHERE NOT f.is_leaf"""
+            parts.append(f"f{b}_{i} AS MATERIALIZED (SELECT doc_pk, node_pk, visits, least(leaves, share - before) AS share, is_leaf FROM ({ranked}) x WHERE before < share)")
+        picks = " UNION ALL ".join(f"SELECT doc_pk, node_pk FROM f{b}_{i} WHERE is_leaf" for i in range(1, levels + 1))
+        parts.append(f"p{b} AS MATERIALIZED ({picks})")
+        parts.append(f"""s{b} AS MATERIALIZED (SELECT s.doc_pk, s.node_pk, s.k + coalesce(a.k, 0) AS k, (s.got + coalesce(a.got, 0))::DECIMAL(28, 12) AS got FROM s{b - 1} s LEFT JOIN
+ (SELECT up.doc_pk, up.node_pk, count(*) AS k, sum(least(1.0, greatest(0.0, coalesce(t.score, 0)))::DECIMAL(28, 12)) AS got FROM p{b} JOIN up ON up.doc_pk = p{b}.doc_pk AND up.leaf = p{b}.node_pk JOIN t ON t.doc_pk = up.doc_pk AND t.node_pk = up.leaf GROUP BY ALL) a USING (doc_pk, node_pk))""")
+        parts.append(f"done{b} AS MATERIALIZED (SELECT d.doc_pk, d.done + coalesce(c.k, 0) AS done FROM done{b - 1} d LEFT JOIN (SELECT doc_pk, count(*) AS k FROM p{b} GROUP BY doc_pk) c USING (doc_pk))")
+    return f"""WITH {", ".join(parts)}, seen AS (SELECT n.doc_pk, n.node_pk, n.start_index, k + 3 AS visits, (3 * p + got::DOUBLE) / (k + 3) AS mean FROM n JOIN s{iterations} USING (doc_pk, node_pk) WHERE is_leaf AND k > 0)
+ SELECT doc_pk, node_pk AS leaf_pk, round(round(mean, 12)::DECIMAL(30, 12), 4)::DOUBLE AS value, visits, row_number() OVER (PARTITION BY doc_pk ORDER BY mean DESC, visits DESC, start_index, node_pk) AS rank, count(*) OVER (PARTITION BY doc_pk) AS leaves_seen
+ FROM seen WHERE doc_pk IS NOT NULL QUALIFY rank <= {top}"""
+
+
+@query(search_sql(_TREE.replace("{", "").replace("}", "").replace("1.0D", "1.0").replace("0.0D", "0.0"), 3, 10, 3, 3))
 def mcts_search(spark, folder):
     """Each customer as a document, orders as its sections, order lines below them: three best leaves after ten evaluations in batches of three."""
     return search.searched(run(spark, folder, _TREE), iterations=10, workers=3, top=3)

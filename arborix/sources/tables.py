@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,13 @@ def use_shared_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into :func:`shared_folder` and read back, which ends its lineage: lost executors cost no recomputation of what led to it."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _ITEMS = ["Share Premium Account", "Retained Earnings", "Revaluation Reserves", "Other Reserves", "Capital Redemption Reserve", "Treasury Stock"]
 _DEBTS = {"Overdrafts": "1-URGENT", "Trade Finance": "2-HIGH", "Loans < 1 year - Secured": "3-MEDIUM", "Loans < 1 year - Unsecured": "4-NOT SPECIFIED", "Current Portion - HP/Leasing/Other": "5-LOW"}
 #: What each looked-up figure is, as SQL over a joined order line; p is its price, d and x price times discount and tax.

@@ -93,11 +93,11 @@ def test_answers_cite_their_sources(spark):
         "doc_pk long, node_pk long, parent_pk long, title string, start_index int, end_index int, summary string, text string",
     )
     found = spark.createDataFrame([(1, 2, 0.98765, 4, 2), (1, 3, 1.0, 5, 1)], "doc_pk long, leaf_pk long, value double, visits long, rank long")
-    cited = search.sources(found, nodes, depth=3).orderBy("rank").collect()
+    cited = search.sources(found, nodes).orderBy("rank").collect()
     assert [(r["source"]["node_pk"], r["source"]["pages"], r["source"]["score"], r["source"]["path"], r["text"]) for r in cited] == [
         (3, "6-6", 1.0, ["Report", "Other"], "only a summary"), (2, "3-5", 0.9877, ["Report", "Notes"], "One. Two. Three."),
     ]
-    table = search.sources(found, nodes, depth=3)
+    table = search.sources(found, nodes)
     assert search.synthesized(F.lit("q"), table).first()["answer"] == "only a summary"
     told = search.synthesized(F.lit("Question?"), table, lambda: lambda texts: [t.upper() for t in texts]).first()
     assert told["answer"].startswith("QUESTION?\n\nREPORT > OTHER, PP. 6-6\nONLY A SUMMARY") and len(told["sources"]) == 2
@@ -111,7 +111,7 @@ def test_seeds_and_sums_along_paths(spark):
         (1, 1): (3, 3.0), (1, 2): (3, 3.0), (1, 3): (3, 0.0), (1, 4): (3, 1.5), (2, 1): (3, 0.75), (2, 2): (3, 1.5),
     }
     done = spark.createDataFrame([(1, 4, 0.25), (1, 4, 0.5), (1, 3, 1.0)], "doc_pk long, node_pk long, score double")
-    assert {r["node_pk"]: (r["visits"], r["value_sum"]) for r in search.backpropagated(nodes, done, depth=3).collect()} == {4: (2, 0.75), 3: (1, 1.0), 2: (2, 0.75), 1: (3, 1.75)}
+    assert {r["node_pk"]: (r["visits"], r["value_sum"]) for r in search.backpropagated(nodes, done).collect()} == {4: (2, 0.75), 3: (1, 1.0), 2: (2, 0.75), 1: (3, 1.75)}
 
 
 def test_path_ids_and_lenient_scans(spark):
