@@ -106,7 +106,7 @@ def searched(
 
     def added(picks: DataFrame) -> DataFrame:
         """What evaluated picks (line, times) add to the nodes of their lines, which begin at the leaf."""
-        scored = picks.join(texts, ["doc_pk", "node_pk"]).select(*names, "line", "times", (judged.cast(SCORE) * F.col("times")).cast(SCORE).alias("got"))
+        scored = picks.join(texts, ["doc_pk", "node_pk"]).select(*names, "line", "times", (judged.cast(SCORE) * F.col("times").cast("decimal(9, 0)")).cast(SCORE).alias("got"))
         return scored.select(*names, F.posexplode("line").alias("distance", "node_pk"), "times", "got").select(*names, "node_pk", (F.col("distance") == 0).alias("evaluated"), "times", "got")
 
     def summed(parts: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def searched(
     seen = seen.withColumn("visits", F.col("times") + PRIOR_VISITS).withColumn("mean", (PRIOR_VISITS * _start(own) + F.col("got").cast("double")) / F.col("visits"))
     best = Window.partitionBy(*names).orderBy(F.desc("mean"), F.desc("visits"), "start_index", "node_pk")
     number = F.count(F.lit(1)).over(Window.partitionBy(*names))
-    ranked = seen.select(*names, F.col("node_pk").alias("leaf_pk"), F.round(F.round("mean", 12).cast("decimal(30, 12)"), 4).cast("double").alias("value"), "visits", F.row_number().over(best).cast("long").alias("rank"), number.alias("leaves_seen"))
+    ranked = seen.select(*names, F.col("node_pk").alias("leaf_pk"), F.round(F.round("mean", 9).cast("decimal(30, 9)"), 4).cast("double").alias("value"), "visits", F.row_number().over(best).cast("long").alias("rank"), number.alias("leaves_seen"))
     return ranked.where(F.col("rank") <= top).drop(*([] if asked else ["question_id"]))
 
 

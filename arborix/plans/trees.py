@@ -203,7 +203,7 @@ def search_sql(tree: str, levels: int, iterations: int, workers: int, top: int)
  (SELECT up.doc_pk, up.node_pk, count(*) AS k, sum(least(1.0, greatest(0.0, coalesce(t.score, 0)))::DECIMAL(28, 12)) AS got FROM p{b} JOIN up ON up.doc_pk = p{b}.doc_pk AND up.leaf = p{b}.node_pk JOIN t ON t.doc_pk = up.doc_pk AND t.node_pk = up.leaf GROUP BY ALL) a USING (doc_pk, node_pk))""")
         parts.append(f"done{b} AS MATERIALIZED (SELECT d.doc_pk, d.done + coalesce(c.k, 0) AS done FROM done{b - 1} d LEFT JOIN (SELECT doc_pk, count(*) AS k FROM p{b} GROUP BY doc_pk) c USING (doc_pk))")
     return f"""WITH {", ".join(parts)}, seen AS (SELECT n.doc_pk, n.node_pk, n.start_index, k + 3 AS visits, (3 * p + got::DOUBLE) / (k + 3) AS mean FROM n JOIN s{iterations} USING (doc_pk, node_pk) WHERE is_leaf AND k > 0)
- SELECT doc_pk, node_pk AS leaf_pk, round(round(mean, 12)::DECIMAL(30, 12), 4)::DOUBLE AS value, visits, row_number() OVER (PARTITION BY doc_pk ORDER BY mean DESC, visits DESC, start_index, node_pk) AS rank, count(*) OVER (PARTITION BY doc_pk) AS leaves_seen
+ SELECT doc_pk, node_pk AS leaf_pk, round(round(mean, 9)::DECIMAL(30, 9), 4)::DOUBLE AS value, visits, row_number() OVER (PARTITION BY doc_pk ORDER BY mean DESC, visits DESC, start_index, node_pk) AS rank, count(*) OVER (PARTITION BY doc_pk) AS leaves_seen
  FROM seen WHERE doc_pk IS NOT NULL QUALIFY rank <= {top}"""
 
 
