@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def walked(rows: DataFrame, key: str, order: list[str], step: Callable[[object, Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
@@ -14,11 +16,14 @@ def walked(rows: DataFrame, key: str, order: list[str], step: Callable[[object,
     Rows are dealt out by key and sorted, then stream through each task, so a step that keeps little needs little memory
     however large its group is. Null keys are a group.
     """
-    names, columns = [c.split()[0] for c in schema.split(", ")], rows.columns
+    columns, types = rows.columns, to_arrow_schema(StructType.fromDDL(schema))
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made), types)], schema=types)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index(key)
-        stream = (r for frame in frames for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None))
+        stream = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         ahead = next(stream, None)
         out: list[tuple] = []
         while ahead is not None:
@@ -34,12 +39,12 @@ def walked(rows: DataFrame, key: str, order: list[str], step: Callable[[object,
             for made in step(own, rest):
                 out.append(made)
                 if len(out) >= 4096:
-                    yield pd.DataFrame(out, columns=names)
+                    yield batch(out)
                     out = []
             for _ in rest:  # what the step did not read
                 pass
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield batch(out)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return rows.repartition(parts, key).sortWithinPartitions(key, *order).mapInPandas(walk, schema)
+    return rows.repartition(parts, key).sortWithinPartitions(key, *order).mapInArrow(walk, schema)

@@ -59,18 +59,26 @@ def chunk_ids(spark, folder):
     return made.select("doc_id", "chunk_index", chunks.chunk_id(F.col("source"), F.col("doc_id"), F.col("chunk_index"), F.col("content")).alias("id"))
 
 
-@query(
-    """WITH RECURSIVE p AS (SELECT conv_id AS doc_pk, turn + 1 AS page_no, len(regexp_extract_all(coalesce(text, ''), '[^ ]+')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+_RUNS = """WITH RECURSIVE p AS (SELECT conv_id AS doc_pk, turn + 1 AS page_no, len(regexp_extract_all(coalesce(text, ''), '[^ ]+')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+ most AS (SELECT doc_pk, {most} AS most FROM p GROUP BY doc_pk),
  walk AS (SELECT doc_pk, k, 0 AS chunk_no, page_no AS page_start, page_no AS page_end, n AS total, n AS last FROM p WHERE k = 1
- UNION ALL SELECT w.doc_pk, p.k, CASE WHEN total + n > 120 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN total + n > 120 THEN w.page_end ELSE page_start END, p.page_no,
-  CASE WHEN total + n > 120 THEN last + n ELSE total + n END, n FROM walk w JOIN p ON w.doc_pk = p.doc_pk AND p.k = w.k + 1)
+ UNION ALL SELECT w.doc_pk, p.k, CASE WHEN total + n > most THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN total + n > most THEN w.page_end ELSE page_start END, p.page_no,
+  CASE WHEN total + n > most THEN last + n ELSE total + n END, n FROM walk w JOIN most m ON w.doc_pk = m.doc_pk JOIN p ON w.doc_pk = p.doc_pk AND p.k = w.k + 1)
  SELECT doc_pk, cast(chunk_no AS bigint) AS chunk_no, min(page_start) AS page_start, max(page_end) AS page_end, cast(max(total) AS bigint) AS token_count FROM walk GROUP BY doc_pk, chunk_no"""
-)
+
+
+@query(_RUNS.replace("{most}", "120"))
 def token_chunks(spark, folder):
     """Runs of pages with at most 120 tokens, the last page of one repeated as the first of the next."""
     return chunks.token_chunks(conversation_pages(spark, folder), limit=120)
 
 
+@query(_RUNS.replace("{most}", "CASE WHEN sum(n) <= 120 THEN 120 ELSE ceil((sum(n) / ceil(sum(n) / 120) + 120) / 2) END"))
+def token_chunks_balanced(spark, folder):
+    """The same with a limit lowered by document, so that the last run isn't much shorter than the others."""
+    return chunks.token_chunks(conversation_pages(spark, folder), limit=120, balanced=True)
+
+
 # ------------------------------------------------------------------ scalars
 portable(
     "text_head_tail",
