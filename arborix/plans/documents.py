@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborix.operators import chunks, vectors
+from arborix.operators import chunks, filters, keywords, vectors
 from arborix.plans.portable import portable
 from arborix.plans.registry import query
 from arborix.sources.tables import conversation_pages, table
@@ -174,3 +174,66 @@ def hybrid_search(spark, folder):
     lower = F.lower("text")
     hits = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.expr("0").alias("z"), ((F.length(lower) - F.length(F.replace(lower, F.lit("the"), F.lit("")))) / 3).cast("long").alias("score"))
     return vectors.fused(near, vectors.top(hits.where("score > 0").drop("z"), "id", 50))
+
+
+# ------------------------------------------------------------------ many questions
+_W = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+_WORDS_SQL = f"""WITH size AS (SELECT doc_id AS id, len({_W}) AS n FROM documents), mean AS (SELECT count(*) AS n, avg(n) AS m FROM size),
+p AS (SELECT id, word, count(*) AS times FROM (SELECT doc_id AS id, unnest({_W}) AS word FROM documents) x GROUP BY id, word),
+q AS (SELECT question, word, count(*) AS weight FROM (SELECT item_id AS question, unnest({_W}) AS word FROM benchmark) x GROUP BY question, word),
+df AS (SELECT word, count(*) AS df FROM p GROUP BY word),
+s AS (SELECT question, id, round(sum(weight * ln(1 + (mean.n - df + 0.5) / (df + 0.5)) * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * size.n / mean.m))), 6) AS score
+ FROM q JOIN df USING (word) JOIN p USING (word) JOIN size USING (id) CROSS JOIN mean GROUP BY question, id),
+k AS (SELECT * FROM (SELECT question, id, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM s) x WHERE rank <= 50)"""
+_EACH = "round(list_dot_product(a.e, q.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(q.e, q.e))), 6)"
+_EACH_SQL = f"""SELECT * FROM (SELECT question, id, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS question, a.vec_id AS id, {_EACH} AS score
+ FROM (SELECT vec_id, cast(embedding AS double[]) AS e FROM embeddings WHERE {{rows}}) a CROSS JOIN (SELECT vec_id, cast(embedding AS double[]) AS e FROM embeddings WHERE {{asked}}) q) x) y WHERE rank <= {{k}}"""
+
+
+def _keywords(spark, folder):
+    docs = table(spark, folder, "documents")
+    return keywords.ranked(keywords.postings(docs, "doc_id", "text"), keywords.totals(docs, "text"), table(spark, folder, "benchmark"), "item_id", "text", k=50)
+
+
+def _asked(spark, folder, condition):
+    return table(spark, folder, "embeddings").where(condition).select(F.col("vec_id").alias("question"), "embedding")
+
+
+@query(f"{_WORDS_SQL} SELECT * FROM k")
+def keyword_search(spark, folder):
+    """The 50 best texts for each benchmark passage by its words."""
+    return _keywords(spark, folder)
+
+
+@query(_EACH_SQL.replace("{rows}", "true").replace("{asked}", "vec_id % 20 = 0").replace("{k}", "10"))
+def knn_each(spark, folder):
+    """The ten nearest vectors of each twentieth one, exactly."""
+    return vectors.nearest_to_each(table(spark, folder, "embeddings"), _asked(spark, folder, "vec_id % 20 = 0"), "vec_id", k=10, dimension=64)
+
+
+@query(None)
+def knn_indexed(spark, folder):
+    """The same by an index: 64 cells, of which each question reads 16."""
+    rows = table(spark, folder, "embeddings").where(vectors.usable(F.col("embedding"), 64))
+    centre = vectors.centres(rows, "vec_id", count=64)
+    return vectors.nearest_to_each(vectors.with_cells(rows, centre), _asked(spark, folder, "vec_id % 20 = 0"), "vec_id", k=10, dimension=64, centre=centre, probes=16)
+
+
+@query(_EACH_SQL.replace("{rows}", "label >= 3 AND (label < 7 OR vec_id <> 12) AND label IS NOT NULL").replace("{asked}", "vec_id % 20 = 0").replace("{k}", "10"))
+def knn_where(spark, folder):
+    """The nearest vectors among those that a condition in the clients' notation leaves."""
+    rows = filters.filtered(table(spark, folder, "embeddings"), "label ge 3 and (label lt 7 or vec_id ne 12) and label ne null", fields=["label", "vec_id"])
+    return vectors.nearest_to_each(rows, _asked(spark, folder, "vec_id % 20 = 0"), "vec_id", k=10, dimension=64)
+
+
+@query(
+    f"""{_WORDS_SQL}, v AS ({_EACH_SQL.replace("{rows}", "true").replace("{asked}", "vec_id IN (SELECT item_id FROM benchmark)").replace("{k}", "50")})
+SELECT * FROM (SELECT question, id, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS rank FROM (SELECT question, id, round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + k.rank), 0), 6) AS score
+ FROM v FULL JOIN k USING (question, id)) x) y WHERE rank <= 10"""
+)
+def hybrid_questions(spark, folder):
+    """Benchmark passages as questions: the ten best texts of each by words and vector together."""
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("vec_id"))
+    asked = table(spark, folder, "embeddings").join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("question"), "embedding")
+    near = vectors.nearest_to_each(table(spark, folder, "embeddings"), asked, "vec_id", k=50, dimension=64)
+    return vectors.fused_each(near, _keywords(spark, folder), k=10)
