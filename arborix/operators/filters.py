@@ -36,7 +36,7 @@ def filtered(index: DataFrame, condition: str | None, *, fields: list[str] | Non
     """
     if not (condition or "").strip():
         return index
-    text = as_sql(condition)
+    text = f"({as_sql(condition)})"
     known = StructType([index.schema[f] for f in fields or FILTERABLE if f in index.columns])
     index.sparkSession.createDataFrame([], known).where(text).schema  # refuses other columns; a projection would still let them through
     return index.where(text)
