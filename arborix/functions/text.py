@@ -42,3 +42,17 @@ def search_text(name: Column, synonyms: Column) -> Column:
     first = F.filter(known, lambda s, i: (F.array_position(lower, F.lower(s)) == i + 1) & (F.lower(s) != F.lower(name)))
     others = F.when(F.size(first) > 0, F.concat(F.lit(" (also known as: "), F.array_join(F.slice(first, 1, 6), ", "), F.lit(")"))).otherwise("")
     return F.concat(F.lit(_ASK), name, F.lit("'"), others, F.lit(_TAIL))
+
+
+def at_start(text: Column, title: Column) -> Column:
+    """Whether ``text`` begins with ``title``, whatever its case and white space, with a wrong, missing or surplus sign for every eight, two at most.
+
+    A title without signs begins nothing; nulls begin nothing and have no title. Of a text only as much as the title is
+    compared, by edit distances that give up beyond two.
+    """
+    squeeze = lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", "")
+    title, text = squeeze(title), squeeze(text)
+    size = F.length(title)
+    wrong = F.least(F.lit(2), F.floor(size / 8).cast("int"))
+    near = F.exists(F.sequence(size - wrong, size + wrong), lambda n: F.levenshtein(F.substr(text, F.lit(1), n), title, 2).between(0, wrong))
+    return (size > 0) & (F.startswith(text, title) | ((wrong > 0) & near))

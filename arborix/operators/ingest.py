@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborix.functions.text import at_start
 from arborix.operators import forest
 from arborix.sources.tables import use_shared_folder
 
@@ -90,36 +91,22 @@ def _ranged(toc: DataFrame, pages: DataFrame) -> DataFrame:
     preface = first.select("doc_pk", F.lit(-1).alias("ord"), F.lit("0").alias("structure"), F.lit("Preface").alias("title"), F.lit(1).alias("physical_index"), "pages")
     entries = placed.select("doc_pk", "ord", "structure", "title", "physical_index", "pages").unionByName(preface)
     top = pages.select("doc_pk", F.col("page_no").alias("physical_index"), "text")
-    at_top = F.coalesce(F.startswith(F.ltrim(F.lower("text")), F.trim(F.lower("title"))), F.lit(False))
-    marked = entries.join(top, ["doc_pk", "physical_index"], "left").withColumn("at_top", at_top).drop("text")
+    marked = entries.join(top, ["doc_pk", "physical_index"], "left").withColumn("at_top", at_start(F.col("text"), F.col("title"))).drop("text")
     after = Window.partitionBy("doc_pk").orderBy("ord")
     end = F.coalesce(F.lead("physical_index").over(after) - F.lead("at_top").over(after).cast("int"), F.col("pages"))
     return marked.select("doc_pk", "ord", "structure", "title", F.col("physical_index").alias("start_index"), F.greatest("physical_index", end).alias("end_index"))
 
 
-def ingested(toc: DataFrame, pages: DataFrame) -> DataFrame:
-    """Nodes of the documents: doc_pk, node_id, parent_id, structure, title, start_index, end_index, summary, node_text.
-
-    ``toc`` has doc_pk, ord, structure, title, physical_index; ``pages`` has doc_pk, page_no (from 1), text. Entries
-    beyond the last page or without one go; a preface is put before a first entry that begins later than page one. An
-    entry ends before the next one if that begins at the top of its page, else on the same page, the last one on the
-    last page. Node ids count each document's nodes in depth-first order. Documents without entries have no nodes.
-    """
-    ranged = _ranged(toc, pages)
-    nodes = forest.depth_first(ranged.join(forest.parents(ranged).select("doc_pk", "ord", "parent_ord"), ["doc_pk", "ord"]))
-    texts = forest.texts(ranged, pages)
-    return nodes.join(texts, ["doc_pk", "ord"], "left").select(
-        "doc_pk", "node_id", "parent_id", "structure", "title", "start_index", "end_index", F.substring("node_text", 1, 120).alias("summary"), "node_text"
-    )
-
-
 def ingested_whole(toc: DataFrame, pages: DataFrame, *, pages_above: int = 10, tokens_from: int = 20_000, depth: int = 3) -> DataFrame:
-    """Nodes as of :func:`ingested`, out of contents tables that are not yet placed, with large leaves divided.
+    """Nodes of the documents: doc_pk, node_id, parent_id, structure, title, start_index, end_index, summary, node_text.
 
     ``toc`` has doc_pk, ord, structure, title, page, physical_index and goes through :func:`located`; documents of
-    which it places nothing take the headings on their pages instead. ``pages`` has token_count besides. Leaves are
-    divided as in :func:`divided` and their children numbered with the other nodes; a child's structure is its
-    leaf's with one part more. ``summary`` is the first two sentences of node_text.
+    which it places nothing take the headings on their pages instead. ``pages`` has doc_pk, page_no (from 1), text and
+    token_count. Entries beyond the last page or without one go; a preface is put before a first entry that begins later
+    than page one. An entry ends before the next one if that begins at the top of its page (:func:`at_start`), else on
+    the same page, the last one on the last page. Leaves are divided as in :func:`divided` and their children numbered
+    with the other nodes, depth first; a child's structure is its leaf's with one part more. ``summary`` is the first
+    two sentences of node_text. Documents without entries and headings have no nodes.
     """
     found = _cut(page_headings(pages))
     ranged = _cut(_ranged(_cut(routed(_cut(located(toc, pages)), found)), pages))

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from arborix.functions.text import at_start
 from arborix.operators import forest, ingest
 from arborix.sources import trees
 
@@ -21,8 +22,8 @@ def test_ingested_nodes(spark):
     toc = spark.createDataFrame(
         [(1, 0, "1", "Risk", 2), (1, 1, "1.1", "Credit", 3), (1, 2, "2", "Notes", 3), (1, 3, "1.2", "Late", 4), (1, 4, "3", "Gone", 9), (1, 5, "4", "None", None)],
         "doc_pk long, ord int, structure string, title string, physical_index int",
-    )
-    rows = ingest.ingested(toc, pages).orderBy("node_id").collect()
+    ).withColumn("page", F.lit(None).cast("int"))
+    rows = ingest.ingested_whole(toc, pages.withColumn("token_count", F.lit(1))).orderBy("node_id").collect()
     assert [(r["node_id"], r["parent_id"], r["structure"], r["start_index"], r["end_index"]) for r in rows] == [
         ("0000", None, "0", 1, 1), ("0001", None, "1", 2, 3), ("0002", "0001", "1.1", 3, 3), ("0003", "0001", "1.2", 4, 4), ("0004", None, "2", 3, 4),
     ]
@@ -79,3 +80,13 @@ def test_node_ids_beyond_four_digits_stay_whole(spark):
     toc = spark.range(10_001).selectExpr("1L as doc_pk", "cast(id as int) as ord", "cast(id + 1 as string) as structure", "cast(null as int) as parent_ord")
     ids = [r["node_id"] for r in forest.depth_first(toc).orderBy("ord").collect()]
     assert ids[:2] == ["0000", "0001"] and ids[-2:] == ["9999", "10000"]
+
+
+def test_titles_at_page_starts(spark):
+    cases = {
+        ("Net  Interest Income\nrose", "net interest income"): True, ("Net Interst Income rose", "Net Interest Income"): True, ("Netinterestincome", "Net Interest Income"): True,
+        ("xNet Interest Income", "Net Interest Income"): True, ("The Net Interest Income", "Net Interest Income"): False, ("Risks", "Risk"): True, ("Rise", "Risk"): False, ("Net", "Net Interest Income"): False,
+        ("Bet Imterest Incame", "Net Interest Income"): False, ("a", " "): False, (None, "a"): False, ("a", None): False, ("", ""): False,
+    }
+    rows = spark.createDataFrame([(*k, v) for k, v in cases.items()], "text string, title string, want boolean")
+    assert [r for r in rows.withColumn("got", at_start(F.col("text"), F.col("title"))).collect() if r["got"] != r["want"]] == []
