@@ -86,12 +86,29 @@ UNION ALL SELECT doc_pk, '0000' || lpad(cast(i AS text), 4, '0'), '0000', 1, i,
 )
 def json_tree_scan(spark, folder):
     """Orders written as nested JSON trees with their lines as children, and read back as node rows."""
+    return trees.nodes(_orders(spark, folder), "doc_pk", "raw_json", depth=2)
+
+
+def _orders(spark, folder):
     lines = run(spark, folder, _LINES)
     kid = F.struct(F.concat(F.lit("line "), F.col("node_no").cast("string")).alias("title"), F.lit(1).alias("start_index"), F.col("pages").alias("end_index"))
     docs = lines.groupBy("doc_pk", "doc_name").agg(F.array_sort(F.collect_list(F.struct("node_no", kid.alias("kid")))).alias("k"), F.max("pages").alias("pages"))
     root = F.struct(F.lit("order").alias("title"), F.lit(1).alias("start_index"), F.col("pages").alias("end_index"), F.col("k.kid").alias("nodes"))
-    text = F.to_json(F.struct(F.col("doc_name"), F.array(root).alias("structure")))
-    return trees.nodes(docs.select("doc_pk", text.alias("raw_json")), "doc_pk", "raw_json", depth=2)
+    return docs.select("doc_pk", "doc_name", F.to_json(F.struct(F.col("doc_name"), F.array(root).alias("structure"))).alias("raw_json"))
+
+
+@query(
+    """SELECT doc_pk, true AS same, sha256(concat('{"doc_name":"', doc_name, '","structure":[{"title":"order","start_index":1,"end_index":', cast(max(pages) AS text), ',"nodes":[',
+ string_agg(concat('{"title":"line ', cast(node_no AS text), '","start_index":1,"end_index":', cast(pages AS text), '}'), ',' ORDER BY node_no), ']}]}')) AS digest
+ FROM (SELECT o_orderkey AS doc_pk, o_orderpriority AS doc_name, l_linenumber AS node_no, count(*) AS pages FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) x GROUP BY doc_pk, doc_name"""
+)
+def json_round_trip(spark, folder):
+    """Orders as nested JSON, read as node rows, which are written, read and folded into JSON again: whether it is the same, and its digest."""
+    docs = _orders(spark, folder)
+    again = trees.rebuilt(trees.nodes(docs, "doc_pk", "raw_json", depth=2), docs, "doc_pk")
+    first, second = (trees.canonical(F.col(c), depth=2) for c in ("raw_json", "again"))
+    both = docs.select("doc_pk", "raw_json").join(again.select("doc_pk", F.col("raw_json").alias("again")), "doc_pk", "left")
+    return both.select("doc_pk", first.eqNullSafe(second).alias("same"), F.sha2(second, 256).alias("digest"))
 
 
 _FOUND_SQL = """p AS (SELECT doc_pk, page_no, text, role = 'user' AS yes FROM {PAGES} x WHERE page_no <= 20),

@@ -90,3 +90,22 @@ def test_titles_at_page_starts(spark):
     }
     rows = spark.createDataFrame([(*k, v) for k, v in cases.items()], "text string, title string, want boolean")
     assert [r for r in rows.withColumn("got", at_start(F.col("text"), F.col("title"))).collect() if r["got"] != r["want"]] == []
+
+
+def test_trees_are_the_same_after_a_round_trip(spark):
+    leaf = {"title": 'say "nodes":[] \\ é', "start_index": 2, "end_index": 3, "text": "line\nbreak", "nodes": []}
+    deep = {"nodes": [{"title": "b", "nodes": [leaf, {**leaf, "title": "second"}]}, leaf], "title": "a", "end_index": 9, "start_index": 1, "summary": "s"}
+    given = {1: {"pdf_name": "d", "records": [deep, leaf]}, 2: {"doc_name": "e", "structure": []}, 3: {"doc_name": "f", "structure": [{"title": str(i), "start_index": i} for i in range(12)]}}
+    docs = spark.createDataFrame([(k, v.get("doc_name") or v.get("pdf_name"), json.dumps(v)) for k, v in given.items()], "k long, doc_name string, raw string")
+    nodes = trees.nodes(docs, "k", "raw", depth=4, texts=True)
+
+    def texts(rows):
+        return {r["k"]: r["t"] for r in trees.rebuilt(rows, docs, "k").select("k", trees.canonical(F.col("raw_json"), depth=4).alias("t")).collect()}
+
+    before = {r["k"]: r["t"] for r in docs.select("k", trees.canonical(F.col("raw"), depth=4).alias("t")).collect()}
+    assert texts(nodes) == before and json.loads(before[1])["structure"][0]["nodes"][0]["nodes"][1]["title"] == "second"
+    assert "nodes" not in json.loads(before[1])["structure"][1] and json.loads(before[1])["structure"][1]["title"] == leaf["title"]
+    changed = texts(nodes.withColumn("end_index", F.when((F.col("k") == 1) & (F.col("depth") == 2), 4).otherwise(F.col("end_index"))))
+    assert changed[1] != before[1] and changed[2] == before[2] and changed[3] == before[3]
+    assert texts(nodes.where("path <> '00000000'"))[1] != before[1] and texts(nodes.limit(0))[3] == '{"doc_name":"f","structure":[]}'
+    assert docs.select(trees.canonical(F.lit("no tree")).alias("t")).first()["t"] in (None, "{}")
