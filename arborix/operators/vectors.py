@@ -125,6 +125,24 @@ def nearest_to_each(rows: DataFrame, questions: DataFrame, key: str, *, k: int,
     return made.withColumn("rank", place.cast("long")).where(F.col("rank") <= k)
 
 
+def probes_for(rows: DataFrame, key: str, *, k: int, dimension: int, centre: np.ndarray, recall: float = 0.95, sample: int = 256) -> int:
+    """How many cells a question has to read to find that share of its ``k`` nearest rows.
+
+    Measured by brute force over all ``rows`` (which have cells), for at most ``sample`` of them as questions, chosen by a hash of
+    their keys. What the driver sees is a pair of small numbers for each of these and its neighbours.
+    """
+    chosen = rows.orderBy(F.xxhash64(key), key).limit(sample).select(F.col(key).alias("question"), "embedding").toPandas()
+    if not len(chosen):
+        return 1
+    asked = rows.join(F.broadcast(rows.sparkSession.createDataFrame(chosen[["question"]])), F.col(key) == F.col("question"), "left_semi").select(F.col(key).alias("question"), "embedding")
+    near = nearest_to_each(rows, asked, key, k=k, dimension=dimension)
+    met = near.join(rows.select(F.col(key).alias("id"), "cell"), "id").select("question", "cell").toPandas()
+    order = np.argsort(-(_unit(chosen["embedding"]) @ (centre / np.sqrt((centre * centre).sum(axis=1, keepdims=True))).T), axis=1, kind="stable")
+    place = dict(zip(chosen["question"], np.argsort(order, axis=1)))
+    needed = np.sort([place[q][c] + 1 for q, c in zip(met["question"], met["cell"])])
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+
+
 def fused_each(first: DataFrame, second: DataFrame, *, k: int, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two short ranked lists a question (question, id, rank): the ``k`` best of each (question, id, score, rank)."""
     a, b = (x.select("question", "id", F.col("rank").alias(f"r{i}")) for i, x in enumerate((first, second)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arborix.operators import chunks, filters, keywords, vectors
 from arborix.plans.portable import portable
 from arborix.plans.registry import query
-from arborix.sources.tables import conversation_pages, table
+from arborix.sources.tables import conversation_pages, stored, table
 
 # ------------------------------------------------------------------ registry
 portable("latest_document", "SELECT company, year_period, doc_name, created_at FROM (SELECT *, row_number() OVER (PARTITION BY company, year_period ORDER BY created_at DESC, doc_pk DESC) AS k FROM {REGISTRY} r) x WHERE k = 1")
@@ -213,10 +213,12 @@ def knn_each(spark, folder):
 
 @query(None)
 def knn_indexed(spark, folder):
-    """The same by an index: 64 cells, of which each question reads 16."""
+    """The same by an index of 64 cells, of which each question reads as many as find 0.95 of the neighbours of a sample."""
     rows = table(spark, folder, "embeddings").where(vectors.usable(F.col("embedding"), 64))
     centre = vectors.centres(rows, "vec_id", count=64)
-    return vectors.nearest_to_each(vectors.with_cells(rows, centre), _asked(spark, folder, "vec_id % 20 = 0"), "vec_id", k=10, dimension=64, centre=centre, probes=16)
+    rows = stored(vectors.with_cells(rows, centre).repartitionByRange("cell", "vec_id"))
+    probes = vectors.probes_for(rows, "vec_id", k=10, dimension=64, centre=centre)
+    return vectors.nearest_to_each(rows, _asked(spark, folder, "vec_id % 20 = 0"), "vec_id", k=10, dimension=64, centre=centre, probes=probes)
 
 
 @query(_EACH_SQL.replace("{rows}", "label >= 3 AND (label < 7 OR vec_id <> 12) AND label IS NOT NULL").replace("{asked}", "vec_id % 20 = 0").replace("{k}", "10"))

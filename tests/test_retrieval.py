@@ -91,6 +91,8 @@ def test_index_recall_and_rows_read(spark, tmp_path):
     got = vectors.nearest_to_each(index, questions, "id", k=10, dimension=16, centre=centre, probes=4)
     found = {(r["question"], r["id"]) for r in got.collect()}
     assert len(found & plain_nearest(rows, asked, 10)) >= 0.9 * 2000
+    probes = vectors.probes_for(index, "id", k=10, dimension=16, centre=centre, recall=0.9)
+    assert probes <= 4 and vectors.probes_for(index, "id", k=10, dimension=16, centre=centre, recall=1.0) >= probes
     one = vectors.nearest_to_each(index, questions.limit(1), "id", k=10, dimension=16, centre=centre, probes=1)
     assert "PushedFilters: [In(cell" in one._jdf.queryExecution().toString() or "EqualTo(cell" in one._jdf.queryExecution().toString()
     every = vectors.nearest_to_each(index, questions, "id", k=10, dimension=16, centre=centre, probes=len(centre))
