@@ -51,7 +51,7 @@ def ranked(rows: DataFrame, size: tuple[int, float], questions: DataFrame, key:
     small = (asked.agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0) <= BROADCAST_BYTES
     held = F.broadcast if small else (lambda df: df)
     met = rows.join(held(asked.select("word").distinct()), "word", "left_semi")
-    known = met.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    known = met.groupBy("word").agg(F.count_if(F.col("times") > 0).alias("df"))  # asks for the counts as well, so that both uses share one shuffle
     weights = asked.join(known, "word").select("word", "question", (F.col("weight") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))
     damped = F.col("times") * (K1 + 1) / (F.col("times") + K1 * (1 - B + B * F.col("length") / mean))
     scored = met.repartition("id").join(held(weights), "word").groupBy("question", "id").agg(F.round(F.sum(F.col("weight") * damped), 6).alias("score"))
