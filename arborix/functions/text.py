@@ -44,15 +44,27 @@ def search_text(name: Column, synonyms: Column) -> Column:
     return F.concat(F.lit(_ASK), name, F.lit("'"), others, F.lit(_TAIL))
 
 
-def at_start(text: Column, title: Column) -> Column:
+def at_start(text: Column, title: Column, *, octets: bool = False) -> Column:
     """Whether ``text`` begins with ``title``, whatever its case and white space, with a wrong, missing or surplus sign for every eight, two at most.
 
     A title without signs begins nothing; nulls begin nothing and have no title. Of a text only as much as the title is
     compared, by edit distances that give up beyond two.
+
+    With ``octets``, by the rules of the registered SQL: wrong octets of UTF-8 are counted, so that a missing letter with
+    an accent is two, cases are those of single signs wherever they stand, and a vertical tab is no white space.
     """
-    squeeze = lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"\s+", "")
-    title, text = squeeze(title), squeeze(text)
-    size = F.length(title)
-    wrong = F.least(F.lit(2), F.floor(size / 8).cast("int"))
-    near = F.exists(F.sequence(size - wrong, size + wrong), lambda n: F.levenshtein(F.substr(text, F.lit(1), n), title, 2).between(0, wrong))
-    return (size > 0) & (F.startswith(text, title) | ((wrong > 0) & near))
+    if octets:
+        plain = lambda x: F.replace(F.replace(x, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ"))
+        space, units = r"[\t\n\f\r ]+", lambda x: F.decode(x.cast("binary"), "ISO-8859-1")
+    else:
+        plain, space, units = lambda x: x, r"\s+", lambda x: x
+    squeeze = lambda x: F.regexp_replace(F.lower(plain(F.coalesce(x, F.lit("")))), space, "")
+
+    def begins(x: Column) -> Column:
+        text, title, size = x["text"], x["title"], F.length(x["title"])
+        wrong = F.least(F.lit(2), F.floor(size / 8).cast("int"))
+        near = F.exists(F.sequence(size - wrong, size + wrong), lambda n: F.levenshtein(units(F.substr(text, F.lit(1), n)), units(title), 2).between(0, wrong))
+        return (size > 0) & (F.startswith(text, title) | ((wrong > 0) & near))
+
+    # an array of one, so that both are squeezed once and not for every length
+    return F.exists(F.array(F.struct(squeeze(text).alias("text"), squeeze(title).alias("title"))), begins)

@@ -83,7 +83,7 @@ def located(toc: DataFrame, pages: DataFrame) -> DataFrame:
     return known.join(found, ["doc_pk", "ord"], "left").select("doc_pk", "ord", "structure", "title", F.coalesce("physical_index", "found").alias("physical_index"))
 
 
-def _ranged(toc: DataFrame, pages: DataFrame) -> DataFrame:
+def _ranged(toc: DataFrame, pages: DataFrame, octets: bool) -> DataFrame:
     """Placed entries and prefaces (doc_pk, ord, structure, title) with start_index and end_index."""
     total = pages.groupBy("doc_pk").agg(F.max("page_no").alias("pages"))
     placed = toc.join(total, "doc_pk").where(F.col("physical_index") <= F.col("pages"))
@@ -91,25 +91,25 @@ def _ranged(toc: DataFrame, pages: DataFrame) -> DataFrame:
     preface = first.select("doc_pk", F.lit(-1).alias("ord"), F.lit("0").alias("structure"), F.lit("Preface").alias("title"), F.lit(1).alias("physical_index"), "pages")
     entries = placed.select("doc_pk", "ord", "structure", "title", "physical_index", "pages").unionByName(preface)
     top = pages.select("doc_pk", F.col("page_no").alias("physical_index"), "text")
-    marked = entries.join(top, ["doc_pk", "physical_index"], "left").withColumn("at_top", at_start(F.col("text"), F.col("title"))).drop("text")
+    marked = entries.join(top, ["doc_pk", "physical_index"], "left").withColumn("at_top", at_start(F.col("text"), F.col("title"), octets=octets)).drop("text")
     after = Window.partitionBy("doc_pk").orderBy("ord")
     end = F.coalesce(F.lead("physical_index").over(after) - F.lead("at_top").over(after).cast("int"), F.col("pages"))
     return marked.select("doc_pk", "ord", "structure", "title", F.col("physical_index").alias("start_index"), F.greatest("physical_index", end).alias("end_index"))
 
 
-def ingested_whole(toc: DataFrame, pages: DataFrame, *, pages_above: int = 10, tokens_from: int = 20_000, depth: int = 3) -> DataFrame:
+def ingested_whole(toc: DataFrame, pages: DataFrame, *, pages_above: int = 10, tokens_from: int = 20_000, depth: int = 3, octets: bool = False) -> DataFrame:
     """Nodes of the documents: doc_pk, node_id, parent_id, structure, title, start_index, end_index, summary, node_text.
 
     ``toc`` has doc_pk, ord, structure, title, page, physical_index and goes through :func:`located`; documents of
     which it places nothing take the headings on their pages instead. ``pages`` has doc_pk, page_no (from 1), text and
     token_count. Entries beyond the last page or without one go; a preface is put before a first entry that begins later
-    than page one. An entry ends before the next one if that begins at the top of its page (:func:`at_start`), else on
-    the same page, the last one on the last page. Leaves are divided as in :func:`divided` and their children numbered
+    than page one. An entry ends before the next one if that begins at the top of its page (:func:`at_start`, which gets
+    ``octets``), else on the same page, the last one on the last page. Leaves are divided as in :func:`divided` and their children numbered
     with the other nodes, depth first; a child's structure is its leaf's with one part more. ``summary`` is the first
     two sentences of node_text. Documents without entries and headings have no nodes.
     """
     found = _cut(page_headings(pages))
-    ranged = _cut(_ranged(_cut(routed(_cut(located(toc, pages)), found)), pages))
+    ranged = _cut(_ranged(_cut(routed(_cut(located(toc, pages)), found)), pages, octets))
     walked = forest.paths(ranged.join(forest.parents(ranged).select("doc_pk", "ord", "parent_ord"), ["doc_pk", "ord"]))
     walked = _cut(walked.select("doc_pk", "path", "structure", "title", "start_index", "end_index"))
     parts = divided(walked.drop("structure").withColumnRenamed("path", "structure"), pages, found, pages_above=pages_above, tokens_from=tokens_from, depth=depth)

@@ -92,6 +92,17 @@ def test_titles_at_page_starts(spark):
     assert [r for r in rows.withColumn("got", at_start(F.col("text"), F.col("title"))).collect() if r["got"] != r["want"]] == []
 
 
+def test_titles_at_page_starts_by_octets(spark):
+    cases = {  # by signs, by octets
+        ("Çê dans que de le ai", "dans que de le ai"): (False, False), ("Çêdansquedeleaicht", "dansquedeleaicht"): (True, False), ("edansquedeleaicht", "dansquedeleaicht"): (True, True),
+        ("Résumé des", "Résume des"): (True, False), ("Résumé des", "Résumè des"): (True, True), ("Straße frei", "STRASSE FREI"): (False, False), ("Große Maße", "große\tmaße"): (True, True),
+        ("ΝΟΜΟΣ ΚΑΙ", "νομοσκαι"): (True, True), ("ab\vc", "abc"): (True, False), ("漢字漢字漢字漢字", "字漢字漢字漢字漢"): (True, False), ("", ""): (False, False), (None, "a"): (False, False), ("a", None): (False, False),
+    }
+    rows = spark.createDataFrame(list(cases), "text string, title string")
+    got = rows.select("text", "title", at_start(F.col("text"), F.col("title")), at_start(F.col("text"), F.col("title"), octets=True)).collect()
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in got} == cases
+
+
 def test_trees_are_the_same_after_a_round_trip(spark):
     leaf = {"title": 'say "nodes":[] \\ é', "start_index": 2, "end_index": 3, "text": "line\nbreak", "nodes": []}
     deep = {"nodes": [{"title": "b", "nodes": [leaf, {**leaf, "title": "second"}]}, leaf], "title": "a", "end_index": 9, "start_index": 1, "summary": "s"}
